@@ -18,7 +18,7 @@ BILL_DATES = ["yyyy-M-d", "d/M/yyyy", "d-M-yyyy"]
 def parse_amount(value: Column) -> Column:
     """First number of a money text, commas and rupee signs dropped; null when there is none."""
     plain = F.regexp_replace(value, r",|₹|Rs\.|Rs", "")
-    return tx.blank_to_null(F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0)).try_cast("double")
+    return F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
 def parse_date(value: Column, formats: list[str]) -> Column:

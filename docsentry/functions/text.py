@@ -29,8 +29,7 @@ def count_literal(text: Column, word: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    trimmed = strip(text)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def lines(text: Column) -> Column:
@@ -38,10 +37,9 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, LINE_END), strip), lambda line: line != "")
 
 
-def first_match(text: Column, patterns: list[str]) -> Column:
-    """Group 1 of the first pattern that matches, stripped; Unicode classes, case folded, per line."""
-    found = [blank_to_null(F.regexp_extract(text, "(?imU)" + p, 1)) for p in patterns]
-    return strip(F.coalesce(*found))
+def match(text: Column, pattern: str) -> Column:
+    """Group 1 of the first match, or an empty text; Unicode classes, case folded, line by line."""
+    return F.regexp_extract(text, "(?imU)" + pattern, 1)
 
 
 def entropy(text: Column) -> Column:
@@ -76,9 +74,9 @@ def tokens(normalized: Column) -> Column:
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    """Similarity of two token sets; two empty sets give 0."""
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    """Similarity of two arrays of distinct tokens; two empty ones give 0."""
+    shared = F.size(F.array_intersect(left, right))
+    return F.coalesce(F.try_divide(shared, F.size(left) + F.size(right) - shared), F.lit(0.0))
 
 
 def skeleton_text(text: Column, employee: Column) -> Column:

@@ -67,9 +67,40 @@ def _hint(kind: str, field: str, hints: Column | None) -> list[Column]:
     return [tx.blank_to_null(F.element_at(hints, F.lit(n))) for n in names]
 
 
-def _raw_field(kind: str, field: str, text: Column, hints: Column | None) -> Column:
-    patterns = fixed.FIELD_PATTERNS[kind][field]
-    return F.coalesce(*_hint(kind, field, hints), tx.blank_to_null(tx.first_match(text, patterns)))
+def _with_raw_fields(df: DataFrame, kinds: list[str], hints: Column | None) -> DataFrame:
+    """Add the raw text of every field of ``kinds`` from ``_text``; each kind only reads its own documents.
+
+    Patterns are tried one projection after the other, a later one only where the earlier ones found nothing, so no
+    pattern runs twice on a text.
+    """
+    fields = {(k, f): p for k in kinds for f, p in fixed.FIELD_PATTERNS[k].items()}
+    gate = {k: F.lit(True) if len(kinds) == 1 else F.col("document_type") == k for k in kinds}
+
+    def column(k: str, f: str, i: int) -> str:
+        return f"_r{kinds.index(k)}_{f}_{i}"
+
+    def found_by(k: str, f: str, n: int) -> Column:
+        """What the first ``n`` patterns found: at most one of them is not empty."""
+        tried = [F.col(column(k, f, i)) for i in range(n)]
+        return tried[0] if n == 1 else F.greatest(*tried)
+
+    for i in range(max(map(len, fields.values()))):
+        step = {}
+        for (k, f), patterns in fields.items():
+            if i < len(patterns):
+                open_ = gate[k] if i == 0 else found_by(k, f, i) == ""
+                step[column(k, f, i)] = F.when(open_, tx.match(F.col("_text"), patterns[i]))
+        df = df.withColumns(step)
+    found = {
+        (k, f): F.coalesce(*_hint(k, f, hints), tx.strip(found_by(k, f, len(p))))
+        for (k, f), p in fields.items()
+    }
+    names = list(dict.fromkeys(f for _, f in fields))
+    df = df.withColumns({
+        f: F.coalesce(*[F.when(gate[k], e) for (k, g), e in found.items() if g == f], F.lit(None).cast("string")) for f in names
+    })
+    df = df.drop(*[column(k, f, i) for (k, f), p in fields.items() for i in range(len(p))])
+    return df.withColumns({f: F.when(F.col(f) != "", F.col(f)) for f in names})
 
 
 def _finish_payslip(hints: Column | None) -> list[dict[str, Column]]:
@@ -130,8 +161,7 @@ def extract(docs: DataFrame, kind: str, hints: str | None = None) -> DataFrame:
     hint_col = F.col(hints) if hints else None
     fields = list(fixed.FIELD_PATTERNS[kind])
     out = docs.withColumn("_text", tx.strip(F.coalesce("text", F.lit(""))))
-    out = out.withColumns({
-        **{f: _raw_field(kind, f, F.col("_text"), hint_col) for f in fields},
+    out = _with_raw_fields(out, [kind], hint_col).withColumns({
         "_header": company_header(F.col("_text")) if kind == "PAYSLIP" else F.lit(None).cast("string"),
         "arithmetic_valid": F.lit(None).cast("boolean"),
     })
@@ -148,14 +178,9 @@ def extract_all(docs: DataFrame, hints: str | None = None) -> DataFrame:
     everything = sorted({f for k in fixed.DOCUMENT_TYPES for f in fixed.FIELD_PATTERNS[k]} | set(ALL_FIELDS))
     out = docs.withColumn("_text", tx.strip(F.coalesce("text", F.lit(""))))
 
-    def chosen(field: str) -> Column:
-        have = [k for k in fixed.DOCUMENT_TYPES if field in fixed.FIELD_PATTERNS[k]]
-        return F.coalesce(F.lit(None).cast("string"), *[
-            F.when(kind_is[k], _raw_field(k, field, F.col("_text"), hint_col)) for k in have
-        ])
-
+    out = _with_raw_fields(out, fixed.DOCUMENT_TYPES, hint_col)
     out = out.withColumns({
-        **{f: chosen(f) for f in everything},
+        **{f: F.lit(None).cast("string") for f in everything if f not in out.columns},
         "_header": F.when(kind_is["PAYSLIP"], company_header(F.col("_text"))),
         "arithmetic_valid": F.lit(None).cast("boolean"),
     })

@@ -1,7 +1,6 @@
 """Registry checks: joins of cases to registry tables, outcomes kept for misses too.
 
-No join is hinted: Spark broadcasts a registry only when its size allows it and shuffles otherwise. Name ratios are
-computed on distinct name pairs.
+No join is hinted: Spark broadcasts a registry only when its size allows it and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -16,10 +15,10 @@ from docsentry.functions.udfs import name_ratio
 
 
 def with_name_ratio(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """Add the name ratio of two columns, computed once per distinct pair."""
-    pairs = rows.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right).distinct()
-    scored = pairs.withColumn(name, name_ratio(F.col(left), F.col(right)))
-    return rows.join(scored, [left, right], "left")
+    """Add the name ratio of two columns. Equal names are settled without Python; only other pairs are sent there."""
+    same = F.lower(left) == F.lower(right)
+    sent = name_ratio(F.when(~same, F.col(left)), F.when(~same, F.col(right)))
+    return rows.withColumn(name, F.when(same, 1.0).otherwise(sent))
 
 
 def word_overlap(a: Column, b: Column) -> Column:
@@ -126,7 +125,8 @@ def verify_gst(cases: DataFrame, registry: DataFrame) -> DataFrame:
     joined = keyed.join(registry, "gstin", "left")
     joined = with_name_ratio(joined, "company_name", "legal_name", "_legal")
     joined = with_name_ratio(joined, "company_name", "trade_name", "_trade")
-    mine, legal, trade = (tx.company_key(F.col(c)) for c in ("company_name", "legal_name", "trade_name"))
+    joined = joined.withColumns({f"_k{i}": tx.company_key(F.col(c)) for i, c in enumerate(("company_name", "legal_name", "trade_name"))})
+    mine, legal, trade = F.col("_k0"), F.col("_k1"), F.col("_k2")
     score = F.greatest("_legal", "_trade")
     named = tx.contains_either(mine, legal) | tx.contains_either(mine, trade) | (score >= 0.75)
     reason = (
@@ -139,7 +139,7 @@ def verify_gst(cases: DataFrame, registry: DataFrame) -> DataFrame:
         "state": F.when(F.col("reason_code").isNull(), map_column(fixed.GST_STATES, F.substring("gstin", 1, 2))),
         "pan": F.when(F.col("reason_code").isNull(), F.col("registry_pan")),
         "match_score": F.round(score, 3),
-    }).drop("_legal", "_trade")
+    }).drop("_legal", "_trade", "_k0", "_k1", "_k2")
 
 
 def verify_cin(cases: DataFrame, registry: DataFrame, companies: DataFrame) -> DataFrame:
@@ -151,7 +151,8 @@ def verify_cin(cases: DataFrame, registry: DataFrame, companies: DataFrame) -> D
         "registered_name": F.coalesce("_n1", "_c.n"), "registry_status": F.when(F.col("_n1").isNotNull(), F.col("_s1")).otherwise(F.col("_c.s")),
     })
     joined = with_name_ratio(joined, "company_name", "registered_name", "_ratio")
-    named = tx.contains_either(tx.company_key(F.col("company_name")), tx.company_key(F.col("registered_name"))) | (F.col("_ratio") >= 0.75)
+    joined = joined.withColumns({"_k0": tx.company_key(F.col("company_name")), "_k1": tx.company_key(F.col("registered_name"))})
+    named = tx.contains_either(F.col("_k0"), F.col("_k1")) | (F.col("_ratio") >= 0.75)
     ok = F.coalesce(F.col("cin").rlike(fixed.CIN_FORMAT), F.lit(False))
     reason = F.when(~ok, "CIN_FORMAT_INVALID").when(F.col("registered_name").isNull() | ~named, "COMPANY_NOT_FOUND")
     return joined.withColumn("reason_code", reason).withColumns({
@@ -160,7 +161,7 @@ def verify_cin(cases: DataFrame, registry: DataFrame, companies: DataFrame) -> D
         "cin_state": F.when(ok, F.substring("cin", 7, 2)),
         "cin_year": F.when(ok, F.substring("cin", 9, 4)),
         "match_score": F.round("_ratio", 3),
-    }).drop("_n1", "_s1", "_c", "_ratio")
+    }).drop("_n1", "_s1", "_c", "_ratio", "_k0", "_k1")
 
 
 def verify_account(cases: DataFrame, registry: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def compare(pairs: DataFrame) -> DataFrame:
         + bonus("same_salary", 0.04) + bonus("same_seal", 0.03)
     )
     return parts.withColumns({
-        "score": F.round(F.least(score, F.lit(1.0)), 4), "visual_similarity": F.round("_v", 4), "text_similarity": F.round("_j", 4),
+        "score": F.round(F.round(F.least(score, F.lit(1.0)), 9), 4), "visual_similarity": F.round("_v", 4), "text_similarity": F.round("_j", 4),
     }).drop("_v", "_j")
 
 

@@ -86,9 +86,9 @@ SELECT doc_id, document_type AS true_type, t, concat_ws({_NL},
   CASE document_type
   WHEN 'PAYSLIP' THEN concat_ws({_NL}, employer_name || ' Industries Limited', 'Salary Slip',
     CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Employer: ' || employer_name END, 'Employee Name: ' || shown_name,
-    'Employee ID: EMP-' || CAST(doc_id AS STRING), 'Designation: ' || job_title, 'Department: Unit ' || CAST(cust % 9 AS STRING),
+    'Employee ID: EMP-' || CAST(doc_id AS STRING), 'Designation: ' || job_title, 'Department: Desk ' || CAST(cust % 9 AS STRING),
     'Pay Period: ' || substr(CAST(CAST(created_at AS DATE) AS STRING), 1, 7), 'Pay Date: ' || CAST(CAST(created_at AS DATE) AS STRING),
-    'PAN: ' || pan_number, 'IFSC: HDFC0' || lpad(CAST(cust AS STRING), 6, '0'), 'Account No: ' || lpad(CAST(cust AS STRING), 12, '1'),
+    'PAN: ' || pan_number, 'IFSC: HDFC0' || lpad(CAST(cust AS STRING), 6, '0'), 'Account No: 7' || lpad(CAST(cust AS STRING), 11, '0'),
     'Gross Pay: Rs. ' || {_money('gross')}, 'Provident Fund: ' || CAST(pf AS STRING), 'Professional Tax: 200', 'TDS: 500',
     CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Total Deductions: ' || CAST(pf + 700 AS STRING) END, 'Net Pay: Rs. ' || {_money('net')})
   WHEN 'INCOME_TAX_FORM' THEN concat_ws({_NL}, 'FORM NO. 16', 'Assessment Year: 2024-25', 'Name of Taxpayer: ' || shown_name,
@@ -140,7 +140,7 @@ FROM (SELECT CASE WHEN cust % 13 = 0 THEN '99' ELSE lpad(CAST(1 + cust % 24 AS S
 """
 
 VIEWS["account_registry"] = """
-SELECT lpad(CAST(c_custkey AS STRING), 12, '1') AS account,
+SELECT '7' || lpad(CAST(c_custkey AS STRING), 11, '0') AS account,
   CASE WHEN c_custkey % 9 = 0 THEN 'Unknown Beneficiary' ELSE c_name END AS beneficiary FROM customer WHERE c_custkey % 11 <> 10
 """
 
@@ -246,7 +246,7 @@ class Inputs:
         bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
         words = self.docs.join(self.embeddings, F.col("doc_id") == F.col("vec_id"))
         return words.select(
-            "doc_id", "t", "text", "content_hash", F.lpad(F.lower(F.conv(bits, 2, 16)), 16, "0").alias("page_phash"),
+            "doc_id", "t", F.regexp_replace("text", "[0-9]", " ").alias("text"), "content_hash", F.lpad(F.lower(F.conv(bits, 2, 16)), 16, "0").alias("page_phash"),
             F.concat(F.lit("layout-"), F.col("label")).alias("layout_hash"), F.concat(F.lit("seal-"), F.col("doc_id") % 7).alias("seal_hash"),
             F.concat(F.lit("Person "), F.col("doc_id") % 40).alias("employee_name"), F.concat(F.lit("Firm "), F.col("doc_id") % 5).alias("employer_name"),
             (F.col("doc_id") % 9 * 1000.0).alias("salary"))
