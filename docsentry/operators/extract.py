@@ -263,6 +263,17 @@ def parse_coverage(fields: DataFrame, types: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "document_type", F.round(found / F.size("_core"), 3).alias("parse_coverage"))
 
 
+def coverage(kind: Column) -> Column:
+    """The same share from wide field columns: no shuffle."""
+    def share(names: list[str]) -> Column:
+        return F.round(reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("int") for n in names]) / len(names), 3)
+
+    out = share(fixed.CORE_FIELDS_DEFAULT)
+    for name, fields in fixed.CORE_FIELDS.items():
+        out = F.when(kind == name, share(fields)).otherwise(out)
+    return out
+
+
 def status_split(fields: DataFrame, key: str) -> DataFrame:
     """Names of found and of missing fields per document."""
     found = F.col("status").isin("REAL", "DERIVED")

@@ -137,7 +137,8 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def findings_ranked(signals: DataFrame, k: int | None = None) -> DataFrame:
     """Findings of each case, strongest first, with family, system and tier. Input: doc_id, signal, reason, value, seq."""
-    per_reason = signals.filter("reason IS NOT NULL").groupBy("doc_id", "reason").agg(F.max("value").alias("confidence"), F.min("seq").alias("seq"))
+    per_reason = signals.filter("reason IS NOT NULL").groupBy("doc_id", "reason").agg(
+        F.round(F.round(F.max("value"), 9), 3).alias("confidence"), F.min("seq").alias("seq"))
     order = Window.partitionBy("doc_id").orderBy(F.col("confidence").desc(), "seq")
     ranked = per_reason.withColumn("rank", F.row_number().over(order))
     if k:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsentry.plans import case_queries, score_queries, text_queries
+from docsentry.plans import case_queries, score_queries, stream_queries, text_queries
 from docsentry.sources.bindings import Inputs
 from docsentry.sources.bindings import check_sql as expand
 
-_PARTS = [text_queries, case_queries, score_queries]
+_PARTS = [text_queries, case_queries, score_queries, stream_queries]
 
 
 def _runner(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 # One row per case with the inputs of the rules that these tables can feed.
 EXTRA_VIEWS["rule_rows"] = """SELECT c.doc_id, c.document_type, c.salary, c.loan_amount, c.job_title, p.n, p.mean, p.std,
-  CASE WHEN n >= 3 THEN (c.salary - mean) / CASE WHEN std < 1000 THEN greatest(mean * 0.1, 5000) ELSE std END END AS z,
+  CASE WHEN p.n >= 3 THEN (c.salary - mean) / CASE WHEN std < 1000 THEN greatest(mean * 0.1, 5000) ELSE std END END AS z,
   x.submission_ms, x.keystroke_ms, x.ip, d.n AS day_n, m.doc_id IS NOT NULL AS moved, dd.is_dup, c.doc_id % 97 = 0 AS broken, tpl.ts AS template_score
 FROM cases c JOIN prior_stats p ON p.doc_id = c.doc_id LEFT JOIN telemetry x ON x.doc_id = c.doc_id LEFT JOIN day_counts d ON d.doc_id = c.doc_id
 LEFT JOIN (SELECT DISTINCT doc_id FROM moves WHERE km > 100 AND km / hours > 1000) m ON m.doc_id = c.doc_id
@@ -107,7 +107,7 @@ _CASE_STATE = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.STATE_LABEL.it
 _CASE_ACTION = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.STATE_ACTION.items())
 
 
-@query(f"""SELECT c.doc_id, {_dec('coalesce(s, 0)', 3)} AS fraud_score, {_dec('greatest((1.0 - coalesce(s, 0)) * (1.0 - coalesce(s, 0)), 0.001)', 3)} AS p_value, st AS state,
+@query(f"""SELECT c.doc_id, {_dec('coalesce(s, 0)', 3)} AS fraud_score, round(greatest((1.0 - coalesce(s, 0)) * (1.0 - coalesce(s, 0)), 0.001), 3) AS p_value, st AS state,
   CASE WHEN bad THEN '{fixed.STATE_LABEL_INTEGRITY}' ELSE CASE st {_CASE_STATE} END END AS ui_label, CASE st {_CASE_ACTION} END AS action, coalesce(array_to_string(rs, ','), '') AS reasons,
   CASE WHEN bad THEN '{fixed.SUMMARY_INTEGRITY}' WHEN len(rs) > 0 THEN 'Document flagged due to ' || array_to_string(list_transform(rs[1:3], lambda r: CASE r {_CASE_LABEL} ELSE lower(r) END), ', ') || '.' ELSE '{fixed.SUMMARY_CLEAN}' END AS summary
 FROM (SELECT c.doc_id, s, coalesce(bad, false) AS bad, CASE WHEN s IS NULL THEN 'LOW' ELSE {_STATE} END AS st FROM cases c LEFT JOIN score_sums q ON q.doc_id = c.doc_id) c
@@ -124,15 +124,15 @@ def score_documents(v: Inputs) -> DataFrame:
     return out.select("doc_id", "document_type", "fraud_score", "state", F.array_join("reasons", ",").alias("reasons"), "summary")
 
 
-_RANK_REASON = "SELECT doc_id, reason, max(value) AS confidence, min(seq) AS seq FROM signal_rows GROUP BY doc_id, reason"
+_RANK_REASON = f"SELECT doc_id, reason, {_dec('max(value)', 3)} AS confidence, min(seq) AS seq FROM signal_rows GROUP BY doc_id, reason"
 _CASE_FAMILY = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.REASON_FAMILY.items())
 _CASE_SYSTEM = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.REASON_SYSTEM.items())
 
 
-@query(f"""SELECT doc_id, reason, {_dec('confidence', 6)} AS confidence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INT) AS rank, CASE reason {_CASE_FAMILY} ELSE 'Other' END AS family,
+@query(f"""SELECT doc_id, reason, confidence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INT) AS rank, CASE reason {_CASE_FAMILY} ELSE 'Other' END AS family,
   CASE reason {_CASE_SYSTEM} ELSE 'Automated Analysis' END AS system, CASE WHEN confidence >= 0.30 THEN 'PRIMARY' ELSE 'SUPPORTING' END AS tier FROM ({_RANK_REASON}) r""")
 def findings_ranked(v: Inputs) -> DataFrame:
-    return reports.findings_ranked(_signals(v)).drop("seq").withColumn("confidence", F.round(F.round("confidence", 9), 6))
+    return reports.findings_ranked(_signals(v)).drop("seq")
 
 
 @query(f"""SELECT doc_id, count(DISTINCT reason) AS reasons, count(DISTINCT CASE reason {_CASE_SYSTEM} ELSE 'Automated Analysis' END) AS systems FROM signal_rows GROUP BY doc_id HAVING count(DISTINCT reason) >= 2""")
@@ -161,7 +161,7 @@ def case_registry_view(v: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- graph
 
-EXTRA_VIEWS["g_nodes"] = """SELECT 'Applicant:' || pan_number AS node_id, 'Applicant' AS label, pan_number AS key, arg_max(employee_name, t * 1000000 + CAST(doc_id AS BIGINT)) AS name, CAST(NULL AS DOUBLE) AS fraud_score, CAST(NULL AS VARCHAR) AS risk_state FROM graph_cases GROUP BY pan_number
+EXTRA_VIEWS["g_nodes"] = """SELECT 'Applicant:' || pan_number AS node_id, 'Applicant' AS label, pan_number AS key, max(employee_name) AS name, CAST(NULL AS DOUBLE) AS fraud_score, CAST(NULL AS VARCHAR) AS risk_state FROM graph_cases GROUP BY pan_number
 UNION ALL SELECT DISTINCT 'Document:' || doc_id, 'Document', doc_id, NULL, fraud_score, risk_state FROM graph_cases
 UNION ALL SELECT DISTINCT 'Employer:' || employer_name, 'Employer', employer_name, NULL, NULL, NULL FROM graph_cases
 UNION ALL SELECT DISTINCT 'Device:' || fingerprint, 'Device', fingerprint, NULL, NULL, NULL FROM graph_cases

@@ -11,6 +11,7 @@ from docsentry.functions import scalar as sc
 from docsentry.operators import extract as ex
 from docsentry.operators import features as ft
 from docsentry.operators import history, registry, score
+from docsentry.session import cut_lineage
 from docsentry.sources.bindings import Inputs
 
 
@@ -35,44 +36,48 @@ def case_inputs(v: Inputs) -> DataFrame:
 
 
 def score_documents(v: Inputs, today: str) -> DataFrame:
-    """Score submitted texts: classify, extract, verify, compare with the form and with history."""
+    """Score submitted texts: classify, extract, verify, compare with the form and with history.
+
+    The text pass is written once to the shared checkpoint folder. Every check then reads only its own few columns of
+    that table, and the results meet again on doc_id.
+    """
     day = F.lit(today).cast("date")
     typed = ex.classify(v.slips.select("doc_id", "text", "t"))
-    found = ex.extract_all(typed)
-    shape = ft.structural_features(found)
-    shape = history.structural_anomaly(shape).drop("deviations", "history", *ft.STRUCTURAL)
+    read = ft.structural_features(ex.extract_all(typed)).withColumns({
+        "content_hash": F.sha2("text", 256), "text_chars": F.length("text"), "template_score": ft.template_score(F.col("text")),
+        "salary": F.col("salary_amount"), "company_name": F.coalesce("company_name", "employer_name"),
+        "parse_coverage": ex.coverage(F.col("document_type")),
+    })
+    base = cut_lineage(read.drop("text"))
+
     form = v.cases.select(
-        "doc_id", "loan_amount", "job_title", F.col("employee_name").alias("form_employee_name"), F.col("employer_name").alias("form_employer_name"),
+        "doc_id", "loan_amount", F.col("employee_name").alias("form_employee_name"), F.col("employer_name").alias("form_employer_name"),
         F.col("salary").alias("form_salary"), F.col("job_title").alias("form_job_title"), F.col("pan_number").alias("form_pan"))
-    rows = shape.join(form, "doc_id").withColumns({
-        "doc_employee_name": F.col("employee_name"), "doc_employer_name": F.col("employer_name"), "doc_salary": F.col("salary_amount"),
-        "doc_job_title": F.col("designation"), "salary": F.col("salary_amount"), "document_date": F.col("date"),
-        "job_title": F.coalesce("designation", "job_title"), "content_hash": F.sha2("text", 256),
-        "scan_mode": F.lit("DIGITAL"), "text_chars": F.length("text"), "template_score": ft.template_score(F.col("text")),
-        "company_name": F.coalesce("company_name", "employer_name"),
+    rows = base.drop("t", *ft.STRUCTURAL).join(form, "doc_id").withColumns({
+        "doc_employee_name": F.col("employee_name"), "doc_employer_name": F.col("employer_name"), "doc_salary": F.col("salary"),
+        "doc_job_title": F.col("designation"), "job_title": F.coalesce("designation", "form_job_title"),
+        "document_date": F.col("date"), "scan_mode": F.lit("DIGITAL"),
         "bill_age_days": F.date_diff(day, sc.parse_date(F.col("date"), sc.BILL_DATES)),
     })
     rows = ft.semantic_coherence(ft.form_mismatch(rows), day)
-    rows = history.salary_outlier(rows)
-    core = {k: ex.fixed.CORE_FIELDS[k] for k in ex.fixed.DOCUMENT_TYPES}
-    share = F.lit(None).cast("double")
-    for kind, names in core.items():
-        have = reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("int") for n in names])
-        share = F.when(F.col("document_type") == kind, F.round(have / len(names), 3)).otherwise(share)
-    rows = rows.withColumn("parse_coverage", share)
+    rows = registry.with_name_ratio(rows, "employee_name", "form_employee_name", "consumer_ratio")
+
+    def narrow(*columns: str) -> DataFrame:
+        return base.select("doc_id", *columns)
 
-    pan = registry.verify_pan(rows.select("doc_id", F.col("pan_number").alias("pan"), "employee_name"), v.pan_registry)
-    ifsc = registry.verify_ifsc(rows.select("doc_id", F.col("ifsc_code").alias("ifsc")), v.ifsc_registry)
-    company = registry.verify_company(rows.select("doc_id", "company_name"), v.company_registry)
-    account = registry.verify_account(rows.select("doc_id", F.col("bank_account").alias("account"), "employee_name"), v.account_registry)
-    gst = registry.verify_gst(rows.select("doc_id", "gstin", "company_name"), v.gst_registry)
-    checks = [
+    pan = registry.verify_pan(narrow("pan_number", "employee_name").withColumnRenamed("pan_number", "pan"), v.pan_registry)
+    ifsc = registry.verify_ifsc(narrow("ifsc_code").withColumnRenamed("ifsc_code", "ifsc"), v.ifsc_registry)
+    company = registry.verify_company(narrow("company_name"), v.company_registry)
+    account = registry.verify_account(
+        narrow("bank_account", "employee_name").withColumnRenamed("bank_account", "account"), v.account_registry)
+    gst = registry.verify_gst(narrow("gstin", "company_name"), v.gst_registry)
+    parts = [
         pan.select("doc_id", F.col("valid").alias("pan_valid")), ifsc.select("doc_id", F.col("valid").alias("ifsc_valid")),
         company.select("doc_id", F.col("valid").alias("company_valid")), account.select("doc_id", F.col("valid").alias("account_valid")),
         gst.select("doc_id", F.col("valid").alias("gst_valid"), F.col("reason_code").alias("gst_reason"), F.col("pan").alias("gst_pan")),
+        history.structural_anomaly(narrow("t", *ft.STRUCTURAL)).select("doc_id", "anomaly_score"),
+        history.salary_outlier(narrow("employer_name", "salary", "net_pay", "t")).select("doc_id", "salary_risk"),
+        history.duplicates(narrow("content_hash", "t")).select("doc_id", "is_duplicate"),
+        device_inputs(v.telemetry, v.geo),
     ]
-    rows = reduce(lambda left, right: left.join(right, "doc_id", "left"), checks, rows)
-    rows = registry.with_name_ratio(rows, "employee_name", "form_employee_name", "consumer_ratio")
-    seen = history.duplicates(rows.select("doc_id", "content_hash", "t")).select("doc_id", "is_duplicate")
-    rows = rows.join(seen, "doc_id", "left").join(device_inputs(v.telemetry, v.geo), "doc_id", "left")
-    return score.score_rows(rows)
+    return score.score_rows(reduce(lambda left, right: left.join(right, "doc_id", "left"), parts, rows))
