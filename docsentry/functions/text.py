@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,16 @@ DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-
 HIDDEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\p{Cf}]"
 
 
+SPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(value, F.lit(SPACE_CHARS))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -44,11 +54,12 @@ def match(text: Column, pattern: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character, without exploding the text into character rows."""
-    n = F.length(text).cast("double")
-    chars = F.array_distinct(F.split(text, ""))
-    counts = F.transform(chars, lambda ch: (F.length(text) - F.length(F.replace(text, ch, F.lit("")))).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
-    return F.when(n > 0, F.log2(n) - total / n).otherwise(F.lit(0.0))
+    def of_length(n: Column) -> Column:
+        counts = F.transform(F.array_distinct(F.split(text, "")), lambda ch: n - F.length(F.replace(text, ch, F.lit(""))))
+        total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+        return F.when(n > 0, F.log2(n) - total / n).otherwise(F.lit(0.0))
+
+    return let(F.length(text).cast("double"), of_length)
 
 
 def char_ratio(text: Column, char_class: str) -> Column:

@@ -39,10 +39,12 @@ def text_entropy(docs: DataFrame) -> DataFrame:
 
 def template_score(text: Column) -> Column:
     """Share of repeated lines plus .15 per open double brace, at most 1; null without any line."""
-    found = F.transform(tx.lines(text), F.lower)
-    repeated = F.size(found) - F.size(F.array_distinct(found))
-    score = F.least(repeated / F.size(found) + tx.count_literal(text, "{{") * 0.15, F.lit(1.0))
-    return F.when(F.size(found) > 0, F.round(score, 3))
+    def of_lines(found: Column) -> Column:
+        repeated = F.size(found) - F.size(F.array_distinct(found))
+        score = F.least(repeated / F.size(found) + tx.count_literal(text, "{{") * 0.15, F.lit(1.0))
+        return F.when(F.size(found) > 0, F.round(score, 3))
+
+    return tx.let(F.transform(tx.lines(text), F.lower), of_lines)
 
 
 def creation_delta(created: Column, claimed: Column) -> Column:

@@ -112,7 +112,7 @@ def _shared(members: DataFrame, prefix: str, kind: str, least: int, unit: float)
     counted = members.groupBy("shared_node").agg(F.count(F.lit(1)).alias("member_count")).filter(F.col("member_count") >= least)
     return counted.select(
         _ring_id(prefix, F.col("shared_node")).alias("ring_id"), F.lit(kind).alias("ring_type"), "shared_node", "member_count",
-        F.round(F.least(F.lit(1.0), F.lit(unit) * F.col("member_count")), 4).alias("ring_risk"))
+        F.least(F.lit(1.0), F.lit(unit) * F.col("member_count")).alias("ring_risk"))
 
 
 def rings_shared_device(node: DataFrame, edge: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def rings_employer_laundering(node: DataFrame, edge: DataFrame) -> DataFrame:
     rolled = per_member.groupBy("employer").agg(F.count("member").alias("member_count"), (F.sum("s") / F.sum("n")).alias("avg_score"))
     return rolled.filter(F.col("member_count") >= 3).select(
         _ring_id("EMPLOYER", F.col("employer")).alias("ring_id"), F.lit("EMPLOYER_LAUNDERING").alias("ring_type"),
-        F.col("employer").alias("shared_node"), "member_count", F.round(F.least(F.lit(1.0), F.coalesce("avg_score", F.lit(0.0))), 4).alias("ring_risk"))
+        F.col("employer").alias("shared_node"), "member_count", F.least(F.lit(1.0), F.coalesce("avg_score", F.lit(0.0))).alias("ring_risk"))
 
 
 def upper_median(rows: DataFrame, key: str, value: str, tie: str, width: float = 1000.0) -> DataFrame:
@@ -168,7 +168,7 @@ def rings_salary_inflation(node: DataFrame, edge: DataFrame) -> DataFrame:
     rolled = high.groupBy("employer").agg(F.count(F.lit(1)).alias("member_count"), F.avg(F.coalesce("fraud_score", F.lit(0.0))).alias("risk"))
     return rolled.filter(F.col("member_count") >= 2).select(
         _ring_id("SALARY", F.col("employer")).alias("ring_id"), F.lit("SALARY_INFLATION").alias("ring_type"),
-        F.col("employer").alias("shared_node"), "member_count", F.round(F.least(F.lit(1.0), F.col("risk")), 4).alias("ring_risk"))
+        F.col("employer").alias("shared_node"), "member_count", F.least(F.lit(1.0), F.col("risk")).alias("ring_risk"))
 
 
 def all_rings(cases: DataFrame, node: DataFrame, edge: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from docsentry.operators import chat, forensics, history, registry, reports, sim
 from docsentry.operators import features as ft
 from docsentry.plans import text_queries as tq
 from docsentry.plans.text_queries import company_sql, doc_features
+from docsentry.session import cut_lineage
 from docsentry.sources.bindings import Inputs
 
 QUERIES: dict = {}
@@ -237,13 +238,13 @@ FROM (SELECT *, count(*) OVER w AS history, {stats} FROM doc_features WINDOW w A
 
 @query(_anomaly_sql("1 PRECEDING"))
 def structural_anomaly(v: Inputs) -> DataFrame:
-    out = history.structural_anomaly(doc_features(v))
+    out = history.structural_anomaly(tq.stored_features(v))
     return out.select("doc_id", "history", F.round("anomaly_score", 6).alias("anomaly_score"), F.array_join("deviations", ",").alias("deviations"))
 
 
 @query(_anomaly_sql("UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW"))
 def structural_anomaly_all_others(v: Inputs) -> DataFrame:
-    out = history.structural_anomaly(doc_features(v), "all_others")
+    out = history.structural_anomaly(tq.stored_features(v), "all_others")
     return out.select("doc_id", "history", F.round("anomaly_score", 6).alias("anomaly_score"), F.array_join("deviations", ",").alias("deviations"))
 
 
@@ -332,7 +333,8 @@ EXTRA_VIEWS["plain_slips"] = r"SELECT doc_id, regexp_replace(text, '[0-9]+[.,\-/
 
 
 def _prints(v: Inputs) -> DataFrame:
-    return similarity.fingerprints(v.prints)
+    """The fingerprint table as written once."""
+    return cut_lineage(similarity.fingerprints(v.prints))
 
 
 EXTRA_VIEWS["print_bits"] = """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings"""

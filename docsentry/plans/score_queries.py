@@ -11,6 +11,7 @@ from docsentry.operators import features as ft
 from docsentry.operators import graph, history, ledger, registry, reports, score
 from docsentry.plans import scoring
 from docsentry.plans import text_queries as tq
+from docsentry.session import cut_lineage
 from docsentry.sources.bindings import Inputs
 
 QUERIES: dict = {}
@@ -176,7 +177,9 @@ UNION ALL SELECT DISTINCT 'Applicant:' || pan_number, 'PAN:' || pan_number, 'OWN
 
 
 def _graph(v: Inputs) -> tuple[DataFrame, DataFrame]:
-    return graph.build(v.graph_cases)
+    """The graph as its two stored tables."""
+    cases = cut_lineage(v.graph_cases)
+    return cut_lineage(graph.nodes(cases)), cut_lineage(graph.edges(cases))
 
 
 @query("SELECT node_id, label, key, name, fraud_score, risk_state FROM g_nodes")
@@ -198,48 +201,52 @@ EXTRA_VIEWS["pay_middle"] = "SELECT employer_name, list_sort(list(salary))[1 + c
 EXTRA_VIEWS["ring_pay"] = "SELECT d.employer_name AS shared_node, count(*) AS n, avg(fraud_score) AS r FROM g_docs d JOIN pay_middle m ON m.employer_name = d.employer_name WHERE med > 0 AND salary >= 2 * med GROUP BY d.employer_name HAVING count(*) >= 2"
 
 
+def _shown(rings: DataFrame) -> DataFrame:
+    return rings.withColumn("ring_risk", F.round("ring_risk", 9))
+
+
 def _ring_sql(view: str, prefix: str, kind: str, risk: str) -> str:
     return f"SELECT '{prefix}_' || substr(sha256(shared_node), 1, 12) AS ring_id, '{kind}' AS ring_type, shared_node, n AS member_count, {risk} AS ring_risk FROM {view}"
 
 
 _RINGS = {
-    "rings_shared_device": _ring_sql("ring_device", "DEVICE", "SHARED_DEVICE", "CAST(least(1.0, 0.3 * n) AS DOUBLE)"),
+    "rings_shared_device": _ring_sql("ring_device", "DEVICE", "SHARED_DEVICE", "round(CAST(least(1.0, 0.3 * n) AS DOUBLE), 9)"),
     "rings_shared_pan": _ring_sql("ring_pan", "PAN", "SHARED_PAN", "CAST(least(1.0, 0.5 * n) AS DOUBLE)"),
     "rings_shared_account": _ring_sql("ring_account", "BANK", "SHARED_BANK_ACCOUNT", "CAST(least(1.0, 0.5 * n) AS DOUBLE)"),
-    "rings_employer_laundering": _ring_sql("ring_employer", "EMPLOYER", "EMPLOYER_LAUNDERING", _dec("least(1.0, r)", 4)),
-    "rings_salary_inflation": _ring_sql("ring_pay", "SALARY", "SALARY_INFLATION", _dec("least(1.0, r)", 4)),
+    "rings_employer_laundering": _ring_sql("ring_employer", "EMPLOYER", "EMPLOYER_LAUNDERING", "round(least(1.0, r), 9)"),
+    "rings_salary_inflation": _ring_sql("ring_pay", "SALARY", "SALARY_INFLATION", "round(least(1.0, r), 9)"),
 }
 EXTRA_VIEWS["every_ring"] = " UNION ALL ".join(_RINGS.values())
 
 
 @query(_RINGS["rings_shared_device"])
 def rings_shared_device(v: Inputs) -> DataFrame:
-    return graph.rings_shared_device(*_graph(v))
+    return _shown(graph.rings_shared_device(*_graph(v)))
 
 
 @query(_RINGS["rings_shared_pan"])
 def rings_shared_pan(v: Inputs) -> DataFrame:
-    return graph.rings_shared_pan(v.pan_cases)
+    return _shown(graph.rings_shared_pan(v.pan_cases))
 
 
 @query(_RINGS["rings_shared_account"])
 def rings_shared_account(v: Inputs) -> DataFrame:
-    return graph.rings_shared_account(*_graph(v))
+    return _shown(graph.rings_shared_account(*_graph(v)))
 
 
 @query(_RINGS["rings_employer_laundering"])
 def rings_employer_laundering(v: Inputs) -> DataFrame:
-    return graph.rings_employer_laundering(*_graph(v))
+    return _shown(graph.rings_employer_laundering(*_graph(v)))
 
 
 @query(_RINGS["rings_salary_inflation"])
 def rings_salary_inflation(v: Inputs) -> DataFrame:
-    return graph.rings_salary_inflation(*_graph(v))
+    return _shown(graph.rings_salary_inflation(*_graph(v)))
 
 
 @query("SELECT ring_id, ring_type, shared_node, member_count, ring_risk FROM every_ring")
 def all_rings(v: Inputs) -> DataFrame:
-    return graph.all_rings(v.pan_cases, *_graph(v))
+    return _shown(graph.all_rings(v.pan_cases, *_graph(v)))
 
 
 @query("""SELECT DISTINCT 'DEVICE_' || substr(sha256(shared_node), 1, 12) AS ring_id, employee_name AS member FROM ring_device JOIN graph_cases ON fingerprint = shared_node
@@ -252,7 +259,7 @@ def ring_members(v: Inputs) -> DataFrame:
 @query("SELECT ring_id, ring_type, shared_node, member_count, ring_risk FROM every_ring WHERE ring_id = 'EMPLOYER_' || substr(sha256('NATION_1 BUILDING'), 1, 12)")
 def ring_detail(v: Inputs) -> DataFrame:
     wanted = F.concat(F.lit("EMPLOYER_"), F.substring(F.sha2(F.lit("NATION_1 BUILDING"), 256), 1, 12))
-    return graph.ring_detail(graph.all_rings(v.pan_cases, *_graph(v)), wanted)
+    return _shown(graph.ring_detail(graph.all_rings(v.pan_cases, *_graph(v)), wanted))
 
 
 EXTRA_VIEWS["g_pairs"] = "SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges"
@@ -269,12 +276,12 @@ def _seed(v: Inputs) -> DataFrame:
 
 @query("SELECT node_id, hop FROM reach")
 def ego_network(v: Inputs) -> DataFrame:
-    return graph.ego_network(graph.edges(v.graph_cases), _seed(v))[0]
+    return graph.ego_network(cut_lineage(graph.edges(v.graph_cases)), _seed(v))[0]
 
 
 @query("SELECT src, dst, type FROM g_edges WHERE src IN (SELECT node_id FROM reach) AND dst IN (SELECT node_id FROM reach)")
 def ego_network_edges(v: Inputs) -> DataFrame:
-    return graph.ego_network(graph.edges(v.graph_cases), _seed(v))[1].select("src", "dst", "type")
+    return graph.ego_network(cut_lineage(graph.edges(v.graph_cases)), _seed(v))[1].select("src", "dst", "type")
 
 
 @query(f"""SELECT key, {_dec('max(greatest(round(CAST(0.07 * d AS DECIMAL(9, 6)), 4), coalesce(fraud_score, 0)))', 4)} AS risk, min(hop) AS hop

@@ -10,6 +10,7 @@ from docsentry.functions import scalar as sc
 from docsentry.functions import text as tx
 from docsentry.operators import extract as ex
 from docsentry.operators import features as ft
+from docsentry.session import cut_lineage
 from docsentry.sources import readers
 from docsentry.sources.bindings import Inputs
 
@@ -368,6 +369,11 @@ def doc_features(v: Inputs) -> DataFrame:
     return ft.structural_features(v.docs.select("doc_id", "text", "t")).drop("text")
 
 
+def stored_features(v: Inputs) -> DataFrame:
+    """The feature table as written once: history is read several times, the texts only here."""
+    return cut_lineage(doc_features(v))
+
+
 @query("SELECT doc_id, text_length, entropy, digit_ratio, whitespace_ratio, unique_word_ratio, avg_line_length FROM doc_features")
 def structural_features(v: Inputs) -> DataFrame:
     return doc_features(v).drop("t")

@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsentry.session import cut_lineage
+from docsentry.sources.readers import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -22,6 +25,9 @@ _PAN = (
 )
 
 
+HEAVY = ("documents", "pages", "orders")  # each row of these costs real work
+
+
 def _money(expr: str) -> str:
     return f"CAST(CAST({expr} AS DECIMAL(18, 2)) AS STRING)"
 
@@ -232,7 +238,8 @@ class Inputs:
         return self._known[name]
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in HEAVY else table
 
     def _view(self, name: str) -> DataFrame:
         sql = _spell(VIEWS[name], _SPARK_SPELLING)

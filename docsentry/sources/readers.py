@@ -22,6 +22,12 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
         text.alias("text"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("created_at"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in too few files to use all cores is dealt out to them; a large one is left as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def parse_cases(rows: DataFrame, column: str = "risk_json") -> DataFrame:
     """Typed fields of a stored result; text that is no JSON gives nulls and keeps its row."""
     return rows.withColumn("_r", F.from_json(column, schemas.CASE)).select(*rows.columns, "_r.*")

@@ -94,12 +94,12 @@ class SeenHash(StatefulProcessor):
         self.first = handle.getValueState("first", "doc_id bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # Only the earliest row of the batch matters, so chunks pass through one at a time once it is known.
-        chunks = list(rows)
+        # A hash seen before needs no look at the batch; only a new one has its rows held to find the earliest.
         if not self.first.exists():
-            earliest = min((r.t, r.doc_id) for c in chunks for r in c[["t", "doc_id"]].itertuples(index=False))
-            self.first.update((int(earliest[1]),))
+            rows = list(rows)
+            earliest = min((int(c["t"].min()), int(c.loc[c["t"] == c["t"].min(), "doc_id"].min())) for c in rows)
+            self.first.update((earliest[1],))
         first = int(self.first.get()[0])
-        for c in chunks:
+        for c in rows:
             yield pd.DataFrame({
                 "doc_id": c["doc_id"], "content_hash": key[0], "first_doc_id": first, "is_duplicate": c["doc_id"] != first})
