@@ -54,33 +54,36 @@ def layout_hashes(blocks: DataFrame) -> DataFrame:
 
 def candidates(prints: DataFrame, n: int = RECENT, width: int = HOUR) -> DataFrame:
     """Pairs (cur, old) of every fingerprint with the ``n`` just before it; every join group has ``n`` rows."""
-    return recent_pairs(prints, ["t", "doc_id"], time_chunk("t", "doc_id", width), n)
+    return recent_pairs(_prepared(prints), ["t", "doc_id"], time_chunk("t", "doc_id", width), n)
+
+
+def _prepared(prints: DataFrame) -> DataFrame:
+    """Forms that every comparison needs, made once per fingerprint instead of once per pair."""
+    def folded(name: str) -> Column:
+        return tx.blank_to_null(F.lower(tx.strip(F.col(name))))
+
+    added = {"_bits": ("page_phash", sc.hash_bits(F.col("page_phash")) if "page_phash" in prints.columns else None)}
+    added |= {f"_{n}": (n, folded(n) if n in prints.columns else None) for n in ("employer_name", "employee_name")}
+    return prints.withColumns({k: e for k, (_, e) in added.items() if e is not None})
 
 
 def compare(pairs: DataFrame) -> DataFrame:
     """Score each pair by image, layout, text, employer, salary and seal agreement."""
     c, o = F.col("cur"), F.col("old")
 
-    def same_text(field: str) -> Column:
-        return F.coalesce(
-            (F.lower(tx.strip(c[field])) == F.lower(tx.strip(o[field])))
-            & (F.coalesce(c[field], F.lit("")) != "") & (F.coalesce(o[field], F.lit("")) != ""), F.lit(False))
-
     def equal(field: str) -> Column:
         return F.coalesce((c[field] == o[field]) & (c[field] != ""), F.lit(False))
 
-    distance = sc.hamming(c["page_phash"], o["page_phash"])
+    distance = F.bit_count(c["_bits"].bitwiseXOR(o["_bits"]))
     parts = pairs.select(
         c["doc_id"].alias("doc_id"), o["doc_id"].alias("other_doc_id"), distance.alias("distance"),
         F.when(distance.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - distance / 64.0)).alias("_v"),
         equal("layout_hash").alias("same_layout"),
         tx.jaccard(c["tokens"], o["tokens"]).alias("_j"),
-        same_text("employer_name").alias("same_employer"),
+        F.coalesce(c["_employer_name"] == o["_employer_name"], F.lit(False)).alias("same_employer"),
         F.coalesce(F.abs(c["salary"] - o["salary"]) < 1.0, F.lit(False)).alias("same_salary"),
         equal("seal_hash").alias("same_seal"),
-        F.coalesce(
-            (F.lower(tx.strip(c["employee_name"])) != F.lower(tx.strip(o["employee_name"])))
-            & (tx.strip(c["employee_name"]) != "") & (tx.strip(o["employee_name"]) != ""), F.lit(False)).alias("different_employee"),
+        F.coalesce(c["_employee_name"] != o["_employee_name"], F.lit(False)).alias("different_employee"),
         equal("document_hash").alias("same_content"),
     )
     def bonus(flag: str, weight: float) -> Column:

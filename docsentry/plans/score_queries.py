@@ -178,8 +178,7 @@ UNION ALL SELECT DISTINCT 'Applicant:' || pan_number, 'PAN:' || pan_number, 'OWN
 
 def _graph(v: Inputs) -> tuple[DataFrame, DataFrame]:
     """The graph as its two stored tables."""
-    cases = cut_lineage(v.graph_cases)
-    return cut_lineage(graph.nodes(cases)), cut_lineage(graph.edges(cases))
+    return cut_lineage(graph.nodes(v.graph_cases)), cut_lineage(graph.edges(v.graph_cases))
 
 
 @query("SELECT node_id, label, key, name, fraud_score, risk_state FROM g_nodes")
