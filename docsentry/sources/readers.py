@@ -15,8 +15,8 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .filter(F.lower("path").rlike(r"\.(txt|csv|json|md)$"))
     )
-    # decode() puts a replacement mark for each bad byte; the mark is then removed.
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\N{REPLACEMENT CHARACTER}", "")
+    # Bad bytes become replacement marks, and the marks are removed.
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\N{REPLACEMENT CHARACTER}", "")
     return files.select(
         F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("doc_id"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"),
         text.alias("text"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("created_at"))
