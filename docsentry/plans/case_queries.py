@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docsentry import fixed
 from docsentry.functions import scalar as sc
-from docsentry.functions import text as tx
 from docsentry.operators import chat, forensics, history, registry, reports, similarity
 from docsentry.operators import features as ft
 from docsentry.plans import text_queries as tq

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsentry import fixed
-from docsentry.functions import scalar as sc
-from docsentry.operators import features as ft
-from docsentry.operators import graph, history, ledger, registry, reports, score
+from docsentry.operators import graph, ledger, registry, reports, score
 from docsentry.plans import scoring
 from docsentry.plans import text_queries as tq
 from docsentry.session import cut_lineage

@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsentry.session import cut_lineage
 from docsentry.sources.readers import spread
 
 TABLES = (

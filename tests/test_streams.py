@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from docsentry.plans import catalog
 from docsentry.sources import readers, writers
 from docsentry.sources.bindings import Inputs
