@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsentry.llm import quality_rules
+from docsentry.llm import decontaminate, minhash, mixing, quality_rules, token_files
 from docsentry.llm.common import table
 
 
+#: Folder of the public tokenizer files; where it is unset, the package that holds them.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
+
+
+def tokenizer(name: str) -> str:
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_mixing": op2_mixing,
+    "op4_token_files": op4_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 CHECKS: dict[str, str] = {}
