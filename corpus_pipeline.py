@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsentry.llm import quality_rules
+from docsentry.llm import decontaminate, minhash, mixing, quality_rules, token_files
 from docsentry.llm.common import table
+from docsentry.llm.queries import tokenizer
 from docsentry.session import cut_lineage
 
 
@@ -14,7 +15,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.accepted(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: shingles of five words, similarity 0.8 or more."""
+    return minhash.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, so an id may come twice."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in order of id; one row per document read back from them."""
+    return token_files.encoded(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", tokens),
+]
 #: The chain holds trained cutoffs and token files, which SQL cannot express.
 ORACLE_SQL = None
 
