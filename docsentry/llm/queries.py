@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsentry.llm import decontaminate, minhash, mixing, quality_rules, token_files
+from docsentry.llm import decontaminate, language, licenses, minhash, mixing, quality_model, quality_rules, token_counts, token_files, url_filter
 from docsentry.llm.common import table
 
 
@@ -31,14 +31,45 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    ("com", "/", url_filter.ALLOW),
+    ("example.com", "/en/", url_filter.BLOCK),
+    ("www.example.com", "/en/", url_filter.ALLOW),
+    ("net", "/es/", url_filter.BLOCK),
+    ("net", "/fr/", url_filter.BLOCK),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, URL_RULES, url_filter.ruled_sample(pages, URL_RULES))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +77,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mixing": op2_mixing,
+    "op3_license_scan": op3_license_scan,
     "op4_token_files": op4_token_files,
+    "op5_quality_model": op5_quality_model,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
 CHECKS: dict[str, str] = {}
