@@ -7,7 +7,8 @@ the strain rejects. A cutoff may be used only if the holdout half of the good do
 documents and k of them rejected, the exact binomial test of "more than ``risk`` of good documents are rejected" must
 fail at level ``error / number of strata`` (Bonferroni over strata). Within a stratum the cutoffs are tested from the
 strictest-to-reject downwards, and stop at the first failure, so that this order needs no further correction. Of the
-certified cutoffs the one that rejects most bad tuning documents at least cost in good ones is taken. A stratum with too
+certified cutoffs the one that rejects most bad tuning documents at least cost in good ones is taken, and moved halfway to
+the next level that a good document has. A stratum with too
 few labels certifies nothing and rejects nothing more.
 
 Defined results: null text has no words; documents without words fail the word-count rule; null languages form one
@@ -145,15 +146,18 @@ def fit(rows: DataFrame, risk: float = 0.01, error: float = 0.05, cost: float =
         F.count(F.when(F.col("tuning") & (F.col("quality") == 0), 1)).alias("bad"),
         F.count(F.when(~F.col("tuning") & (F.col("quality") == 1), 1)).alias("held"))
     above = Window.partitionBy("stratum").orderBy(F.desc("level"))
+    below = above.rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy("stratum")
-    sums = bins.select("stratum", "level", *[F.sum(c).over(above).alias(c) for c in ("good", "bad", "held")], F.sum("held").over(whole).alias("n"))
+    sums = bins.select("stratum", "level", F.max(F.when((F.col("good") > 0) | (F.col("held") > 0), F.col("level"))).over(below).alias("lower"), *[F.sum(c).over(above).alias(c) for c in ("good", "bad", "held")], F.sum("held").over(whole).alias("n"))
     strata = rows.select("stratum").distinct().agg(F.count("stratum").alias("strata"))  # one row
     safe = sums.crossJoin(F.broadcast(strata)).withColumn(
         "most", largest_safe_count(F.col("n"), risk, F.lit(error) / F.col("strata")))
     gain = F.col("bad") - cost * F.col("good")
     chosen = (safe.filter((F.col("held") <= F.col("most")) & (gain > 0)).groupBy("stratum")
-              .agg(F.max(F.struct(gain.alias("gain"), F.col("level"))).alias("best")))
-    return chosen.select("stratum", (F.col("best.level") / STEPS).alias("cutoff")), sizes
+              .agg(F.max(F.struct(gain.alias("gain"), "level", "lower")).alias("best")))
+    # halfway down to the next level of a good document: none lies between, so the certificate is the same
+    level = F.ceil((F.col("best.level") + F.coalesce("best.lower", "best.level")) / 2)
+    return chosen.select("stratum", (level / STEPS).alias("cutoff")), sizes
 
 
 def strain(shares: Column, sizes: dict[str, float]) -> Column:
