@@ -233,10 +233,11 @@ def confidence_rollup(fields: DataFrame, key: str, core: list[str], arithmetic:
     )
 
 
-def scan_mode(pages: DataFrame, suffix: Column) -> DataFrame:
-    """IMAGE, SCANNED or DIGITAL per document from (doc_id, page, text_chars); the first 3 pages decide for a PDF."""
+def scan_mode(pages: DataFrame, suffix: Column, first_pages: int | None = None) -> DataFrame:
+    """IMAGE, SCANNED or DIGITAL per document from (doc_id, page, text_chars); for a PDF all pages decide, or the first few if asked."""
+    counted = F.col("page") <= first_pages if first_pages else F.lit(True)
     head = pages.withColumn("_suffix", suffix).groupBy("doc_id", "_suffix").agg(
-        F.sum(F.when(F.col("page") <= 3, F.col("text_chars"))).alias("text_chars")
+        F.sum(F.when(counted, F.col("text_chars"))).alias("text_chars")
     )
     mode = (
         F.when(F.col("_suffix").isin(".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp", ".webp"), "IMAGE")

@@ -17,11 +17,13 @@ ID_BLOCK = 1 << 20  # rows of equal time are cut by id as well
 
 
 def time_chunk(time: str, tie: str, width: int = DAY) -> list[Column]:
-    """Chunks that never decrease along (time, tie), for numeric ids: a time step, and id blocks within one instant."""
+    """Chunks that never decrease along (time, tie): a time step, and within one instant id blocks (text ids: by their first bytes)."""
     step = F.floor(F.col(time) / width)
     # Only rows at the very start of a step (dates without a time of day) are cut by id: they share one instant.
     at_start = F.col(time) == step * width
-    return [step, F.when(at_start, F.floor(F.col(tie) / ID_BLOCK)).otherwise(F.lit(2**62))]
+    first_bytes = F.conv(F.rpad(F.hex(F.substring(F.col(tie).cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    block = F.when(F.typeof(tie) == "string", first_bytes).otherwise(F.floor(F.col(tie) / ID_BLOCK))
+    return [step, F.when(at_start, block).otherwise(F.lit(2**62))]
 
 
 def employer_key(name: Column) -> Column:
@@ -34,9 +36,15 @@ def usable_salary(salary: Column, net_pay: Column) -> Column:
     return F.when(value > 0, value)
 
 
+def _history_only(rows: DataFrame) -> Column:
+    """Which rows count as history: all, or the finished ones where a ``finalized`` column says so."""
+    return F.coalesce("finalized", F.lit(False)) if "finalized" in rows.columns else F.lit(True)
+
+
 def salary_baseline(cases: DataFrame, doc_types: list[str] | None = None) -> DataFrame:
-    """Count, mean and population deviation of the salaries of each employer. Input: employer_name, salary, net_pay."""
+    """Count, mean and population deviation of the salaries of each employer. Input: employer_name, salary, net_pay, finalized (optional)."""
     rows = cases.filter(F.col("document_type").isin(doc_types)) if doc_types else cases
+    rows = rows.filter(_history_only(rows))
     return (
         rows.select(employer_key(F.col("employer_name")).alias("employer"), usable_salary(F.col("salary"), F.col("net_pay")).alias("_s"))
         .filter("_s IS NOT NULL AND employer <> ''")
@@ -46,11 +54,14 @@ def salary_baseline(cases: DataFrame, doc_types: list[str] | None = None) -> Dat
 
 
 def prior_salary_stats(cases: DataFrame, width: int = DAY) -> DataFrame:
-    """Add n, mean and std of the employer's earlier salaries (by time, then doc_id). Input adds numeric ``t`` micros."""
-    rows = cases.withColumns({
-        "employer": F.coalesce(employer_key(F.col("employer_name")), F.lit("")),
-        "_s": usable_salary(F.col("salary"), F.col("net_pay")),
-    })
+    """Add n, mean and std of the employer's earlier salaries (by time, then doc_id). Input adds numeric ``t`` micros.
+
+    Only finished cases count as history where a ``finalized`` column is given. A case without an employer has none.
+    """
+    rows = cases.withColumn("employer", F.coalesce(employer_key(F.col("employer_name")), F.lit("")))
+    unnamed = rows.filter("employer = ''").withColumns({"n": F.lit(0).cast("bigint"), "mean": F.lit(None).cast("double"), "std": F.lit(None).cast("double")})
+    own = F.when(_history_only(rows), usable_salary(F.col("salary"), F.col("net_pay")))
+    rows = rows.filter("employer <> ''").withColumn("_s", own)
     one = F.when(F.col("_s").isNotNull(), 1).otherwise(0).cast("bigint")
     sums = prior_aggregates(
         rows, ["employer"], ["t", "doc_id"], time_chunk("t", "doc_id", width),
@@ -60,7 +71,7 @@ def prior_salary_stats(cases: DataFrame, width: int = DAY) -> DataFrame:
     var = F.col("_sq") / F.col("n") - mean * mean
     return sums.withColumns({
         "mean": mean, "std": F.when(F.col("n") > 0, F.sqrt(F.greatest(var, F.lit(0.0)))),
-    }).drop("_sum", "_sq", "_s")
+    }).drop("_sum", "_sq", "_s").unionByName(unnamed)
 
 
 def outlier_risk(salary: Column, n: Column, mean: Column, std: Column) -> tuple[Column, Column]:
@@ -77,7 +88,7 @@ def salary_outlier(cases: DataFrame, as_of: str = "prior", width: int = DAY) ->
         rows = prior_salary_stats(cases, width)
     else:
         base = salary_baseline(cases).select("employer", F.col("n").alias("_n"), F.col("mean").alias("_m"), F.col("std").alias("_d"))
-        own = usable_salary(F.col("salary"), F.col("net_pay"))
+        own = F.when(_history_only(cases), usable_salary(F.col("salary"), F.col("net_pay")))
         rows = cases.withColumns({"employer": employer_key(F.col("employer_name")), "_s": own}).join(base, "employer", "left")
         counted = F.col("_s").isNotNull()
         n = F.col("_n") - F.when(counted, 1).otherwise(0)
@@ -181,7 +192,7 @@ def device_clone(telemetry: DataFrame, width: int = HOUR) -> DataFrame:
     }).drop("_seen")
     unknown = telemetry.filter("coalesce(fingerprint, '') = ''").withColumns({
         "submissions_24h": F.lit(0).cast("bigint"), "clone_score": F.lit(0.0),
-        "recent_doc_ids": F.array().cast("array<bigint>"),
+        "recent_doc_ids": F.slice(F.array("doc_id"), 1, 0),
     })
     return scored.unionByName(unknown)
 

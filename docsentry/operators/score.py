@@ -13,7 +13,7 @@ from docsentry.operators import features as ft
 _REASON = dict(fixed.SIGNAL_REASONS)
 _SEQ = {name: i for i, (name, _) in enumerate(fixed.SIGNAL_REASONS)}
 
-# Inputs of the rules and their types; a missing column counts as unknown, which never fires a rule.
+# Inputs of the rules and their types; a missing column or null counts as unknown, which never fires a rule.
 INPUTS = {
     "previous_hash": "string", "content_hash": "string", "creation_delta": "double", "template_score": "double",
     "salary": "double", "net_pay": "double", "loan_amount": "double", "salary_risk": "double", "anomaly_score": "double",
@@ -53,10 +53,10 @@ def signal_columns() -> dict[str, Column]:
     cover = c("parse_coverage")
     other_gst = ~F.coalesce(c("gst_reason").isin("GSTIN_FORMAT_INVALID", "GST_STATE_CODE_INVALID"), F.lit(False))
     other_cin = F.coalesce(c("cin_reason") != "CIN_FORMAT_INVALID", F.lit(True))
-    bad_gst = gst & _given("gstin") & ~F.coalesce(c("gst_valid"), F.lit(False))
-    bad_cin = company & _given("cin") & ~F.coalesce(c("cin_valid"), F.lit(False))
-    bad_company = (slip | tax) & _given("company_name") & ~F.coalesce(c("company_valid"), F.lit(False))
-    bad_pan = (slip | tax) & _given("pan_number") & _given("employee_name") & ~F.coalesce(c("pan_valid"), F.lit(False))
+    bad_gst = gst & _given("gstin") & F.coalesce(~c("gst_valid"), F.lit(False))
+    bad_cin = company & _given("cin") & F.coalesce(~c("cin_valid"), F.lit(False))
+    bad_company = (slip | tax) & _given("company_name") & F.coalesce(~c("company_valid"), F.lit(False))
+    bad_pan = (slip | tax) & _given("pan_number") & _given("employee_name") & F.coalesce(~c("pan_valid"), F.lit(False))
     declared = F.coalesce(tx.blank_to_null(c("form_pan")), tx.blank_to_null(c("pan_number")))
     duplicate = F.coalesce(c("is_duplicate"), F.lit(False))
     band_salary = F.coalesce(c("salary"), c("net_pay"))
@@ -78,9 +78,9 @@ def signal_columns() -> dict[str, Column]:
         "form_pdf_mismatch": F.when(c("form_pdf_mismatch") > 0, F.least(F.lit(0.30), c("form_pdf_mismatch") * 0.30)),
         "company_not_found": F.when(bad_company | (bad_gst & other_gst) | (bad_cin & other_cin), 0.20),
         "pan_name_mismatch": F.when(bad_pan, 0.35),
-        "ifsc_invalid": F.when(slip & _given("ifsc_code") & ~F.coalesce(c("ifsc_valid"), F.lit(False)), 0.30),
+        "ifsc_invalid": F.when(slip & _given("ifsc_code") & F.coalesce(~c("ifsc_valid"), F.lit(False)), 0.30),
         "bank_account_mismatch": F.when(
-            slip & _given("bank_account") & _given("employee_name") & ~F.coalesce(c("account_valid"), F.lit(False)), 0.35),
+            slip & _given("bank_account") & _given("employee_name") & F.coalesce(~c("account_valid"), F.lit(False)), 0.35),
         "tax_math_mismatch": F.when(tax & invalid_math, 0.30),
         "gstin_format_invalid": F.when(bad_gst & (c("gst_reason") == "GSTIN_FORMAT_INVALID"), 0.35),
         "gst_state_code_invalid": F.when(bad_gst & (c("gst_reason") == "GST_STATE_CODE_INVALID"), 0.30),

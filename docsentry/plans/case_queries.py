@@ -169,8 +169,9 @@ def registry_applicable_checks(v: Inputs) -> DataFrame:
     return registry.check_status(v.cases.select("doc_id", kind.alias("document_type")))
 
 
-@query("""SELECT g.doc_id, coalesce(upper(trim(registry_pan)) <> upper(trim(CASE WHEN g.doc_id % 2 = 0 THEN c.pan_number ELSE f.pan_number END)), false) AS mismatch
-FROM (SELECT doc_id, gstin FROM fields_wide WHERE true_type = 'GST_REGISTRATION') g JOIN cases c ON c.doc_id = g.doc_id JOIN fields_wide f ON f.doc_id = g.doc_id JOIN gst_registry r ON r.gstin = g.gstin""")
+@query("""SELECT g.doc_id, coalesce(upper(trim(registry_pan)) <> upper(trim(CASE WHEN g.doc_id % 2 = 0 THEN c.pan_number ELSE substr(g.gstin, 3, 10) END)), false) AS mismatch
+FROM (SELECT doc_id, regexp_extract(text, 'GSTIN: ([0-9A-Z]{15})', 1) AS gstin FROM slips WHERE true_type = 'GST_REGISTRATION') g JOIN cases c ON c.doc_id = g.doc_id
+JOIN gst_registry r ON r.gstin = g.gstin""")
 def gstin_pan_crosscheck(v: Inputs) -> DataFrame:
     found = tq.fields_of(v, "GST_REGISTRATION").select("doc_id", "gstin", F.col("pan_number").alias("doc_pan"))
     joined = found.join(v.cases.select("doc_id", F.col("pan_number").alias("form_pan")), "doc_id").join(v.gst_registry, "gstin")

@@ -362,7 +362,7 @@ SELECT doc_id, count(*) AS n, min(CASE WHEN NOT link_ok OR NOT payload_ok THEN s
 
 @query("SELECT doc_id, seq, event_id, payload, previous_hash, block_hash FROM blocks")
 def ledger_build(v: Inputs) -> DataFrame:
-    return _blocks(v).drop("segment", "t")
+    return _blocks(v).drop("segment", "t", "tie")
 
 
 @query("SELECT doc_id, max(seq) + 1 AS blocks, arg_max(block_hash, seq) AS last_hash, sha256(arg_max(block_hash, seq) || repeat('0', 64)) AS anchor FROM blocks GROUP BY doc_id")
@@ -399,3 +399,21 @@ def ledger_report(v: Inputs) -> DataFrame:
 def ledger_timeline(v: Inputs) -> DataFrame:
     rows = _tampered(v)
     return ledger.timeline(rows, ledger.report(ledger.failures(rows))).drop("t")
+
+
+# Segments of two blocks; every third document loses its second segment, and of the next third the last block.
+EXTRA_VIEWS["cut_chains"] = """SELECT b.doc_id, n, CASE WHEN b.doc_id % 3 = 0 THEN greatest(n - 2, least(n, 2)) WHEN b.doc_id % 3 = 1 THEN n - 1 ELSE n END AS total_blocks,
+  CASE WHEN b.doc_id % 3 = 0 AND n >= 5 THEN 4 WHEN b.doc_id % 3 = 0 AND n >= 3 THEN 2 WHEN b.doc_id % 3 = 1 THEN n - 1 END AS failed_block,
+  CASE WHEN b.doc_id % 3 = 0 AND n >= 5 THEN 'hash_link' WHEN b.doc_id % 3 = 0 AND n >= 3 OR b.doc_id % 3 = 1 THEN 'truncated' END AS failure_type
+FROM (SELECT doc_id, count(*) AS n FROM ledger_events GROUP BY doc_id) b"""
+
+
+@query("""SELECT doc_id, failed_block IS NULL AS ok, failed_block, failure_type, blocks_verified, total_blocks, CASE WHEN total_blocks > 0 THEN round(blocks_verified / total_blocks * 100.0, 1) ELSE 0 END AS verified_pct
+FROM (SELECT *, CASE WHEN failed_block IS NULL THEN total_blocks WHEN failure_type = 'hash_link' THEN 2 ELSE failed_block END AS blocks_verified FROM cut_chains) c""")
+def ledger_lost_segments(v: Inputs) -> DataFrame:
+    """Loss shows: a segment from the middle by its missing neighbour, the end of a chain by the heads."""
+    whole = ledger.build(v.ledger_events, segment=2)
+    heads = ledger.heads(whole)
+    ends = whole.join(heads.select("doc_id", "blocks"), "doc_id")
+    lost = ((F.col("doc_id") % 3 == 0) & (F.col("segment") == 1)) | ((F.col("doc_id") % 3 == 1) & (F.col("seq") == F.col("blocks") - 1))
+    return ledger.report(ledger.failures(ends.filter(~lost).drop("blocks")), heads)

@@ -27,7 +27,7 @@ def case_inputs(v: Inputs) -> DataFrame:
     """Cases with salary history, device behaviour, text template and duplicate inputs, one row per case."""
     rows = history.salary_outlier(v.cases).select(
         "doc_id", "document_type", "employee_name", "employer_name", "salary", "net_pay", "loan_amount", "job_title", "salary_risk",
-        F.lit("receipt").alias("content_hash"), F.when(F.col("doc_id") % 97 == 0, "other receipt").alias("previous_hash"))
+        F.col("receipt_hash").alias("content_hash"), F.col("previous_receipt_hash").alias("previous_hash"))
     seen = history.duplicates(v.docs.select("doc_id", "content_hash", "t")).select("doc_id", "is_duplicate")
     template = v.documents.select("doc_id", ft.template_score(F.col("text")).alias("template_score"))
     return (
@@ -70,11 +70,13 @@ def score_documents(v: Inputs, today: str) -> DataFrame:
     company = registry.verify_company(narrow("company_name"), v.company_registry)
     account = registry.verify_account(
         narrow("bank_account", "employee_name").withColumnRenamed("bank_account", "account"), v.account_registry)
+    cin = registry.verify_cin(narrow("cin", "company_name"), v.cin_registry, v.company_registry)
     gst = registry.verify_gst(narrow("gstin", "company_name"), v.gst_registry)
     parts = [
         pan.select("doc_id", F.col("valid").alias("pan_valid")), ifsc.select("doc_id", F.col("valid").alias("ifsc_valid")),
         company.select("doc_id", F.col("valid").alias("company_valid")), account.select("doc_id", F.col("valid").alias("account_valid")),
         gst.select("doc_id", F.col("valid").alias("gst_valid"), F.col("reason_code").alias("gst_reason"), F.col("pan").alias("gst_pan")),
+        cin.select("doc_id", F.col("valid").alias("cin_valid"), F.col("reason_code").alias("cin_reason")),
         history.structural_anomaly(narrow("t", *ft.STRUCTURAL)).select("doc_id", "anomaly_score"),
         history.salary_outlier(narrow("employer_name", "salary", "net_pay", "t")).select("doc_id", "salary_risk"),
         history.duplicates(narrow("content_hash", "t")).select("doc_id", "is_duplicate"),

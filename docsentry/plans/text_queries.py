@@ -439,10 +439,10 @@ def normalize_text(v: Inputs) -> DataFrame:
     return v.hidden_docs.select("doc_id", ft.normalized(F.col("text")).alias("normalized"))
 
 
-@query(f"SELECT doc_id, CAST(len(k) AS INT) AS token_count, array_to_string(list_sort(k)[1:50], ' ') AS first_tokens FROM (SELECT doc_id, {tokens_sql('text')} AS k FROM documents) d")
+@query(f"SELECT doc_id, CAST(len(k) AS INT) AS token_count, array_to_string(list_sort(k), ' ') AS tokens FROM (SELECT doc_id, {tokens_sql('text')} AS k FROM documents) d")
 def token_set(v: Inputs) -> DataFrame:
     found = v.documents.select("doc_id", tx.tokens(ft.normalized(F.col("text"))).alias("k"))
-    return found.select("doc_id", F.size("k").alias("token_count"), F.array_join(F.slice(F.array_sort("k"), 1, 50), " ").alias("first_tokens"))
+    return found.select("doc_id", F.size("k").alias("token_count"), F.array_join(F.array_sort("k"), " ").alias("tokens"))
 
 
 EXTRA_VIEWS["layer_tokens"] = f"""SELECT page_id AS doc_id, page_id % 4 = 0 AS hid, {tokens_sql('html')} AS r, {tokens_sql(f"regexp_replace(html, '{_BARE}', ' ', 'g')")} AS s,

@@ -49,7 +49,8 @@ SELECT o_orderkey AS doc_id, c_custkey AS cust, c_name AS employee_name, n_name
   {_PAN.format('c_custkey')} AS pan_number, o_totalprice AS salary, CAST(NULL AS DOUBLE) AS net_pay,
   o_orderdate AS created_at, MICROS(o_orderdate) AS t, o_orderstatus AS status_code, o_orderpriority AS priority,
   CAST(o_orderkey % 140 AS DOUBLE) * o_totalprice AS loan_amount, {_choice('c_custkey', _TITLES)} AS job_title,
-  {_choice('o_orderkey', _TYPES)} AS document_type, CAST((o_orderkey % 100) AS DOUBLE) / 100 AS model_score
+  {_choice('o_orderkey', _TYPES)} AS document_type, CAST((o_orderkey % 100) AS DOUBLE) / 100 AS model_score,
+  'receipt' AS receipt_hash, CASE WHEN o_orderkey % 97 = 0 THEN 'other receipt' END AS previous_receipt_hash
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """
 
@@ -137,6 +138,14 @@ FROM (SELECT employer_name, CAST(row_number() OVER (ORDER BY employer_name) AS I
       FROM (SELECT DISTINCT employer_name FROM cases) d) x WHERE ord % 11 <> 10
 """
 
+# Most certificates are registered; some under another name.
+VIEWS["cin_registry"] = """
+SELECT cin, min(name) AS name, min(status) AS status FROM (
+  SELECT CASE WHEN cust % 2 = 0 THEN 'L' ELSE 'U' END || lpad(CAST(cust % 90000 AS STRING), 5, '1') || 'KA' || substr(CAST(CAST(created_at AS DATE) AS STRING), 1, 4)
+      || 'PLC' || lpad(CAST(cust AS STRING), 6, '0') AS cin, CASE WHEN cust % 9 = 0 THEN 'Quite Different Traders' ELSE employer_name END AS name, 'ACTIVE' AS status
+  FROM cases WHERE document_type = 'COMPANY_REGISTRATION' AND cust % 11 <> 10) c GROUP BY cin
+"""
+
 VIEWS["gst_registry"] = f"""
 SELECT gstin, min(employer_name) AS legal_name, min(employee_name) AS trade_name, min(pan_number) AS registry_pan, 'ACTIVE' AS gst_status
 FROM (SELECT CASE WHEN cust % 13 = 0 THEN '99' ELSE lpad(CAST(1 + cust % 24 AS STRING), 2, '0') END || pan_number || '1Z5' AS gstin,
