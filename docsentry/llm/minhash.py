@@ -10,8 +10,8 @@ packed. From there on only these short rows move:
   low bits, counted with ``bit_count`` and corrected for chance, estimate the similarity; pairs six standard deviations
   under the threshold go, the others are confirmed on full sets, read again from the texts of these documents alone.
 * Three rounds: each node with its most similar leader; its other leaders that lie in another component by then; last,
-  members of one bucket that are still in different components, all of them. So a group of near copies costs one
-  confirmation per member, and still no link between components is left out.
+  members of one bucket that are still in different components, all of them, in blocks. So a group of near copies costs
+  one confirmation per member, and still no link between components is left out.
 * Components come from alternating star steps on edges, each written as a table in the shared folder.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ LANE_MASK = int("1" * LANES, 16)
 SLACK = 6.0
 _MEMO = 300_000
 _BLOCK = 1 << 17
+#: Items on each side of a block of the last round.
+BLOCK_ITEMS = 400_000
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -220,6 +223,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``estimate`` of one packed signature with many."""
+    x = a[None, :] ^ b
+    for step in (1, 2):
+        x |= x >> np.uint64(step)
+    unequal = np.bitwise_count(x & np.uint64(LANE_MASK)).sum(axis=1)
+    return (1 - unequal / PERMUTATIONS - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _links_across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among ``members`` (fp, cluster, root, keys, bits, items), one for each document and component.
+
+    Clusters hold what shares torn buckets, however large. Members outside a cluster's largest component meet all members
+    outside their own, in blocks of about ``BLOCK_ITEMS`` items a side, so no task gets a whole cluster and no pair becomes a
+    row. Inside a block only pairs that share a bucket and are near by size and low bits are confirmed, on their full sets.
+    """
+    weight = F.size("items").cast("long")
+    parts = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("held"), F.sum(weight).alias("items"))
+    parts = parts.groupBy("cluster").agg(F.max(F.struct("held", "root")).alias("main"), F.max_by("items", F.struct("held", "root")).alias("main_items"), F.sum("items").alias("items"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_ITEMS)).cast("int")
+    parts = parts.select("cluster", F.col("main.root").alias("main"), blocks(F.col("items") - F.col("main_items")).alias("rows"), blocks(F.col("items")).alias("columns"))
+    placed = members.join(parts, "cluster")
+    draw = F.xxhash64("fp")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    content = ["cluster", "fp", "root", "keys", "bits", "items"]
+    asks = placed.filter("root != main").select(*content, F.lit(True).alias("asks"), F.pmod(draw, F.col("rows")).cast("int").alias("row"), every("columns").alias("column"))
+    asked = placed.select(*content, F.lit(False).alias("asks"), every("rows").alias("row"), F.pmod(draw, F.col("columns")).cast("int").alias("column"))
+    lowest = _lowest_estimate(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = table.filter(table.column("asks"))
+        rest = table.filter(pa.compute.invert(table.column("asks")))
+        found: tuple[list, list] = ([], [])
+        if asks.num_rows and rest.num_rows:
+            left, right = _Block(asks), _Block(rest)
+            for i in range(asks.num_rows):
+                for j in right.linked(left, i, percent, lowest):
+                    found[0].append(left.fps[i])
+                    found[1].append(right.fps[j])
+        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+
+    return asks.unionByName(asked).groupBy("cluster", "row", "column").applyInArrow(run, "a binary, b binary")
+
+
+class _Block:
+    """Rows of a block as arrays."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.fps, self.roots = table.column("fp").to_pylist(), np.array(table.column("root").to_pylist(), dtype="S16")
+        lists = {c: table.column(c).combine_chunks() for c in ("keys", "bits", "items")}
+        flat = {c: (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy() for c, v in lists.items()}
+        self.keys = flat["keys"].reshape(-1, BANDS)
+        self.bits = flat["bits"].view(np.uint64).reshape(len(self.fps), -1)
+        self.sizes = np.array([len(x) for x in lists["items"]], np.int64)
+        self.items = flat["items"]
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def linked(self, other: _Block, i: int, percent: int, lowest: float) -> list[int]:
+        """One row of this block for each component that row ``i`` of the other is linked with."""
+        n = other.sizes[i]
+        near = (self.roots != other.roots[i]) & (100 * np.minimum(n, self.sizes) >= percent * np.maximum(n, self.sizes))
+        at = np.flatnonzero(near)
+        at = at[(self.keys[at] == other.keys[i]).any(axis=1)]
+        at = at[_estimates(other.bits[i], self.bits[at]) >= lowest] if len(at) else at
+        if not len(at):
+            return []
+        own = other.items[other.starts[i] : other.starts[i + 1]]
+        own = np.sort(own)
+        theirs = np.concatenate([self.items[self.starts[j] : self.starts[j + 1]] for j in at])
+        place = np.minimum(np.searchsorted(own, theirs), n - 1)
+        ends = np.cumsum(self.sizes[at])
+        hits = np.concatenate([[0], np.cumsum(own[place] == theirs)])
+        shared = hits[ends] - hits[ends - self.sizes[at]]
+        at = at[100 * shared >= percent * (n + self.sizes[at] - shared)]
+        return at[np.unique(self.roots[at], return_index=True)[1]].tolist()
+
+
 def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -232,11 +313,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         F.first("keys").alias("keys"))
     nodes = cut_lineage(nodes)
     marks = nodes.select("fp", "n", "bits")
-    members = nodes.select("fp", F.explode("keys").alias("bucket"))
+    banded = nodes.select("fp", F.explode("keys").alias("bucket"))
     order = F.xxhash64("fp", "bucket")
-    leaders = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), F.col("fp").alias("leader"))).alias("x"))
+    leaders = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), F.col("fp").alias("leader"))).alias("x"))
     leaders = leaders.filter("size > 1").select("bucket", F.col("x.leader").alias("leader"))
-    grouped = cut_lineage(members.join(leaders, "bucket"))  # only members of buckets with company
+    grouped = cut_lineage(banded.join(leaders, "bucket"))  # only members of buckets with company
     lowest = F.lit(_lowest_estimate(percent))
 
     pairs = grouped.filter("fp != leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
@@ -248,12 +329,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        needed = needed.join(nodes.select("fp", F.col("first_id").alias("doc_id")), "fp").filter("doc_id is not null")
+    def sets_of(needed: DataFrame) -> DataFrame:
+        needed = needed.distinct().join(nodes.select("fp", F.col("first_id").alias("doc_id")), "fp").filter("doc_id is not null")
         return cut_lineage(shingle_sets(needed.join(texts, "doc_id").select("fp", "text"), shingle_words).dropDuplicates(["fp"]))
 
-    sets = sets_of(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")))
     best = pairs.select(F.col("b").alias("x"), "a", "b", "likeness").unionAll(pairs.select(F.col("a").alias("x"), "a", "b", "likeness"))
     best = best.groupBy("x").agg(F.max(F.struct("likeness", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
     edges = cut_lineage(_confirmed(best, sets, percent))
@@ -269,17 +349,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         edges = cut_lineage(edges.unionAll(more))
         roots = components(edges, "a", "b")
 
-    placed = grouped.join(roots, grouped.fp == roots.node, "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
+    # buckets whose members are still in different components
+    placed = grouped.join(roots, grouped.fp == roots.node, "left").select("bucket", "fp", "leader", F.coalesce("root", "fp").alias("root"))
     torn = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("bucket")
-    placed = placed.join(torn, "bucket").join(marks, "fp")
-    one, two = (placed.select("bucket", F.col("fp").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-                for k in ("a", "b"))
-    rest = one.join(two, (one.bucket == two.bucket) & (F.col("ra") < F.col("rb")) & _fits(F.col("n_a"), F.col("n_b"), percent)
-                    & (estimate(F.col("bits_a"), F.col("bits_b")) >= lowest))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = cut_lineage(rest)
-    if not _empty(rest):
-        more = cut_lineage(_confirmed(rest, sets_of(rest), percent))
+    torn = cut_lineage(placed.join(torn, "bucket").select("fp", "leader", "root").distinct())
+    if not _empty(torn):
+        clusters = components(torn, "fp", "leader")
+        members = torn.select("fp", "root").distinct().join(clusters.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "fp")
+        members = members.join(nodes.select("fp", "keys", "bits"), "fp").join(sets_of(torn.select("fp")), "fp")
+        more = cut_lineage(_links_across(cut_lineage(members), percent))
         if not _empty(more):
             edges = cut_lineage(edges.unionAll(more))
             roots = components(edges, "a", "b")
