@@ -336,12 +336,12 @@ _SUFFIX = "CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.txt' ELSE '.pdf' EN
 @query(f"""SELECT page_id AS doc_id, CASE {_SUFFIX} WHEN '.png' THEN 'IMAGE' WHEN '.txt' THEN 'DIGITAL' ELSE
   CASE WHEN page_id % 3 = 0 THEN 'SCANNED' WHEN length(trim(regexp_replace(html, '{_BARE}', '', 'g'))) < 50 THEN 'SCANNED' ELSE 'DIGITAL' END END AS scan_mode FROM pages""")
 def scan_mode(v: Inputs) -> DataFrame:
-    """Every third page's text sits on page 5, where it does not count."""
+    """The first three pages are asked for; every third page's text sits on page 5, where it does not count."""
     chars = F.length(F.trim(F.regexp_replace("html", _BARE, "")))
     rows = v.pages.select(
         F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 3 == 0, 5).otherwise(1).alias("page"), chars.alias("text_chars"))
     suffix = F.when(F.col("doc_id") % 4 == 0, ".png").when(F.col("doc_id") % 4 == 1, ".txt").otherwise(".pdf")
-    return ex.scan_mode(rows, suffix)
+    return ex.scan_mode(rows, suffix, first_pages=3)
 
 
 # ---------------------------------------------------------------- text features

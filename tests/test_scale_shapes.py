@@ -109,11 +109,41 @@ def test_ledger_segments_and_tampering(spark):
         assert rows[i].previous_hash == previous
         previous = hashlib.sha256((f"e{i}" + previous).encode()).hexdigest()
         assert rows[i].block_hash == previous
-    assert ledger.report(ledger.failures(chain, segment=10)).first().ok
+    assert ledger.report(ledger.failures(chain)).first().ok
     for at in (2, 17):
         broken = chain.withColumn("previous_hash", F.when(F.col("seq") == at, "f" * 64).otherwise(F.col("previous_hash")))
-        got = ledger.report(ledger.failures(broken, segment=10)).first()
+        got = ledger.report(ledger.failures(broken)).first()
         assert (got.failed_block, got.failure_type) == (at, "hash_link")
+    heads = ledger.heads(chain)
+    lost = ledger.report(ledger.failures(chain.filter("segment <> 1")), heads).first()
+    assert (lost.ok, lost.failed_block, lost.failure_type, lost.blocks_verified, lost.total_blocks) == (False, 20, "hash_link", 10, 15)
+    first = ledger.report(ledger.failures(chain.filter("segment <> 0"))).first()
+    assert (first.ok, first.failed_block, first.blocks_verified) == (False, 10, 0)
+    swapped = chain.withColumn("seq", F.when(F.col("segment") == 0, F.col("seq") + 10).when(F.col("segment") == 1, F.col("seq") - 10).otherwise(F.col("seq")))
+    swapped = swapped.withColumn("segment", F.floor(F.col("seq") / 10))
+    assert ledger.report(ledger.failures(swapped)).first().failed_block == 10
+    short = ledger.report(ledger.failures(chain.filter("seq < 20")), heads).first()
+    assert (short.ok, short.failed_block, short.failure_type, short.blocks_verified) == (False, 20, "truncated", 20)
+    gone = ledger.report(ledger.failures(chain.filter("false")), heads).first()
+    assert (gone.ok, gone.failed_block, gone.total_blocks, gone.verified_pct) == (False, 0, 0, 0.0)
+
+
+def test_cases_without_employer_and_unfinished_cases_are_no_history(spark):
+    rows = [(i, None, 50_000.0 + i, i, True) for i in range(6)] + [(6, None, 900_000.0, 6, True)]
+    rows += [(10 + i, "Acme", 50_000.0 + i, i, i % 2 == 0) for i in range(8)] + [(30, "Acme", 900_000.0, 9, True)]
+    cases = spark.createDataFrame(rows, "doc_id long, employer_name string, salary double, t long, finalized boolean").withColumn("net_pay", F.lit(None).cast("double"))
+    for as_of in ("prior", "all_others"):
+        got = {r.doc_id: r for r in history.salary_outlier(cases, as_of).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i].n == 0 and got[i].salary_risk == 0 for i in range(7)) and got[30].n == 4 and got[30].salary_risk > 0
+
+
+def test_text_ids(spark):
+    rows = [(f"doc_{i:03d}", "fp", (i // 3) * 3_600_000_000) for i in range(9)]
+    got = {r.doc_id: r for r in history.device_clone(spark.createDataFrame(rows, "doc_id string, fingerprint string, t long")).collect()}
+    assert [got[f"doc_{i:03d}"].submissions_24h for i in range(9)] == list(range(1, 10))
+    cases = spark.createDataFrame([(d, "Acme", 1000.0 + i, None, t) for i, (d, _, t) in enumerate(rows)], "doc_id string, employer_name string, salary double, net_pay double, t long")
+    assert {r.doc_id: r.n for r in history.salary_outlier(cases).collect()} == {f"doc_{i:03d}": i for i in range(9)}
 
 
 def test_similarity_score(spark):
