@@ -96,21 +96,3 @@ def last_before(
     joined = cut.join(before, spans, "left").withColumn("_all", both)
     tail = F.slice(F.col("_all"), F.greatest(F.size("_all") - (k - 1), F.lit(1)), k)
     return joined.withColumn(name, tail).drop("_c", "_item", "_b", "_all")
-
-
-def recent_pairs(rows: DataFrame, order: list[str], chunk: list[Column], n: int) -> DataFrame:
-    """Pair every row with the ``n`` rows just before it, as columns ``cur`` and ``old``.
-
-    Rows are numbered and cut into blocks of half that size; a row meets its own block and the two before, so every
-    join group has the same size whatever the data looks like.
-    """
-    half = -(-n // 2)
-    numbered = with_position(rows, [], order, chunk, "_pos").withColumn("_block", F.floor(F.col("_pos") / half))
-    body = F.struct(*rows.columns)
-    near = F.array(*[F.col("_block") - i for i in range(3)])
-    current = numbered.select(body.alias("cur"), F.col("_pos").alias("_cp"), F.explode(near).alias("_block"))
-    older = numbered.select(body.alias("old"), F.col("_pos").alias("_op"), "_block")
-    # The work lies in the pairs, not in the bytes shuffled: keep all partitions instead of merging small ones.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    current, older = current.repartition(parts, "_block"), older.repartition(parts, "_block")
-    return current.join(older, "_block").filter((F.col("_cp") - F.col("_op")).between(1, n)).select("cur", "old")

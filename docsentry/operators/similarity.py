@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from docsentry.functions import scalar as sc
 from docsentry.functions import text as tx
-from docsentry.operators.history import time_chunk
-from docsentry.operators.ordered import HOUR, recent_pairs
 
-RECENT = 500  # a submission is compared with this many fingerprints just before it
+# What each agreement adds to the score.
+VISUAL, LAYOUT, TEXT, EMPLOYER, SALARY, SEAL = 0.42, 0.17, 0.29, 0.08, 0.04, 0.03
+THRESHOLD = 0.80
 
 
 def skeleton(text: Column, employee: Column) -> Column:
-    """Struct of the first 120 distinct skeleton tokens in order, and the hash of the whole token sequence."""
+    """Struct of the distinct skeleton tokens in order, and the hash of the whole token sequence."""
     found = F.regexp_extract_all(tx.skeleton_text(text, employee), F.lit("([a-z<>]{3,})"), F.lit(1))
     return F.struct(
-        F.slice(F.array_sort(F.array_distinct(found)), 1, 120).alias("tokens"),
+        F.array_sort(F.array_distinct(found)).alias("tokens"),
         F.sha2(F.array_join(found, " "), 256).alias("skeleton_hash"),
     )
 
@@ -52,9 +52,41 @@ def layout_hashes(blocks: DataFrame) -> DataFrame:
     return blocks.filter(tx.strip(F.col("text")) != "").groupBy("doc_id").agg(F.sha2(F.array_join(lines, "|"), 256).alias("layout_hash"))
 
 
-def candidates(prints: DataFrame, n: int = RECENT, width: int = HOUR) -> DataFrame:
-    """Pairs (cur, old) of every fingerprint with the ``n`` just before it; every join group has ``n`` rows."""
-    return recent_pairs(_prepared(prints), ["t", "doc_id"], time_chunk("t", "doc_id", width), n)
+def candidates(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (cur, old) of fingerprints, the earlier one as ``old``, that can reach the threshold; none that does is left out.
+
+    Employer, salary and seal add at most .15. So with different layouts image and text must bring the rest, with one layout
+    .17 less: each alone has a least value, as the other is at most 1. A least text similarity j means that of two token
+    sets, ordered by rarity, the first ``n - ceil(j n) + 1`` tokens meet; those are the join keys (with one layout: with the
+    layout). Sizes and image distance are tested in the join, so common tokens bring few rows.
+    """
+    rows = _prepared(prints)
+    names = rows.columns
+    tokens = rows.select("doc_id", F.explode("tokens").alias("tok"))
+    ranked = tokens.join(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("_f")), "tok")
+    ranked = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_f", "tok"))).alias("_rank"))
+    slim = rows.select("doc_id", "t", "_bits", F.coalesce("layout_hash", F.lit("")).alias("layout"), F.size("tokens").alias("n")).join(ranked, "doc_id")
+    found = None
+    for same in (False, True):
+        rest = threshold - EMPLOYER - SALARY - SEAL - (LAYOUT if same else 0.0) - 5e-5  # scores are rounded to four places
+        least_text, least_visual = rest - VISUAL, rest - TEXT
+        if least_text <= 0:
+            raise ValueError(f"a threshold of {threshold} can be reached without any common token")
+        least_text, furthest = least_text / TEXT, min(64, int(64 * (1 - least_visual / VISUAL) + 1e-9))
+        head = F.slice("_rank", 1, (F.col("n") - F.ceil(F.col("n") * least_text - 1e-9) + 1).cast("int"))
+        keyed = slim.select("doc_id", "t", "_bits", "layout", "n", F.explode(head).alias("_k")).select("*", F.col("_k.tok").alias("tok"))
+        a, b = (keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "t", "_bits", "layout", "n", "tok")]) for side in "ab")
+        layouts = (F.col("a_layout") == F.col("b_layout")) if same else (F.col("a_layout") != F.col("b_layout")) | (F.col("a_layout") == "")
+        if same:
+            layouts = layouts & (F.col("a_layout") != "")
+        far = F.coalesce(F.bit_count(F.col("a__bits").bitwiseXOR(F.col("b__bits"))), F.lit(64))
+        later = (F.col("a_t") > F.col("b_t")) | ((F.col("a_t") == F.col("b_t")) & (F.col("a_doc_id") > F.col("b_doc_id")))
+        sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least_text - 1e-9
+        pairs = a.join(b, (F.col("a_tok") == F.col("b_tok")) & layouts & later & sizes & (far <= furthest)).select("a_doc_id", "b_doc_id")
+        found = pairs if found is None else found.unionAll(pairs)
+    body = F.struct(*names)
+    cur, old = rows.select(F.col("doc_id").alias("a_doc_id"), body.alias("cur")), rows.select(F.col("doc_id").alias("b_doc_id"), body.alias("old"))
+    return found.distinct().join(cur, "a_doc_id").join(old, "b_doc_id").select("cur", "old")
 
 
 def _prepared(prints: DataFrame) -> DataFrame:
@@ -90,15 +122,20 @@ def compare(pairs: DataFrame) -> DataFrame:
         return F.when(F.col(flag), weight).otherwise(0.0)
 
     score = (
-        F.col("_v") * 0.42 + bonus("same_layout", 0.17) + F.col("_j") * 0.29 + bonus("same_employer", 0.08)
-        + bonus("same_salary", 0.04) + bonus("same_seal", 0.03)
+        F.col("_v") * VISUAL + bonus("same_layout", LAYOUT) + F.col("_j") * TEXT + bonus("same_employer", EMPLOYER)
+        + bonus("same_salary", SALARY) + bonus("same_seal", SEAL)
     )
     return parts.withColumns({
         "score": F.round(F.round(F.least(score, F.lit(1.0)), 9), 4), "visual_similarity": F.round("_v", 4), "text_similarity": F.round("_j", 4),
     }).drop("_v", "_j")
 
 
-def matches(scored: DataFrame, threshold: float = 0.80, k: int = 10) -> DataFrame:
+def similar(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Scored pairs that reach the threshold, over all fingerprints."""
+    return compare(candidates(prints, threshold)).filter(F.col("score") >= threshold)
+
+
+def matches(scored: DataFrame, threshold: float = THRESHOLD, k: int = 10) -> DataFrame:
     """The ``k`` best pairs per document that reach the threshold with two different employee names."""
     order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other_doc_id")
     hit = scored.filter((F.col("score") >= threshold) & F.col("different_employee"))
@@ -110,11 +147,14 @@ def topk(scored: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_signal(scored: DataFrame) -> DataFrame:
-    """Per document: duplicate (same content or score >= .99), best score in [.85, .99), and the two signal values."""
+def similar_signal(scored: DataFrame, prints: DataFrame) -> DataFrame:
+    """Per document: duplicate (content seen before, or score >= .99), best score in [.85, .99), and the two signal values."""
     near = F.when((F.col("score") >= 0.85) & (F.col("score") < 0.99), F.col("score"))
-    rolled = scored.groupBy("doc_id").agg(
-        F.bool_or(F.col("same_content") | (F.col("score") >= 0.99)).alias("is_duplicate"), F.max(near).alias("top_similar"))
+    rolled = scored.groupBy("doc_id").agg(F.bool_or(F.col("score") >= 0.99).alias("_same"), F.max(near).alias("top_similar"))
+    first = prints.groupBy("document_hash").agg(F.min(F.struct("t", "doc_id")).alias("_first"))
+    seen = prints.select("doc_id", "t", "document_hash").join(first, "document_hash").filter(F.struct("t", "doc_id") > F.col("_first"))
+    rolled = rolled.join(seen.select("doc_id", F.lit(True).alias("_seen")), "doc_id", "full")
+    rolled = rolled.select("doc_id", (F.coalesce("_same", F.lit(False)) | F.coalesce("_seen", F.lit(False))).alias("is_duplicate"), "top_similar")
     value = F.least(F.lit(0.35), F.greatest(F.lit(0.20), F.col("top_similar") * 0.35))
     return rolled.withColumns({
         "duplicate_value": F.when(F.col("is_duplicate"), 0.35),

@@ -318,7 +318,7 @@ def behavior_total(v: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(k))[1:120], ' ') AS tokens, sha256(array_to_string(k, ' ')) AS skeleton_hash FROM (
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(k)), ' ') AS tokens, sha256(array_to_string(k, ' ')) AS skeleton_hash FROM (
 SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text),
   '(^|[^0-9A-Za-z_\x{c0}-\x{24f}])[a-z]{5}[0-9]{4}[a-z]($|[^0-9A-Za-z_\x{c0}-\x{24f}])', '\1<pan>\2', 'g'),
   '(^|[^0-9A-Za-z_\x{c0}-\x{24f}])[0-9]{9,18}($|[^0-9A-Za-z_\x{c0}-\x{24f}])', '\1<account>\2', 'g'), 'NOTHING_HERE', '', 'g'), '[a-z<>]{3,}') AS k FROM plain_slips) s""")
@@ -338,10 +338,13 @@ def _prints(v: Inputs) -> DataFrame:
 
 
 EXTRA_VIEWS["print_bits"] = """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings"""
-EXTRA_VIEWS["print_rows"] = r"""SELECT d.doc_id, d.t, content_hash, bits, 'layout-' || CAST(label AS VARCHAR) AS layout_hash, 'seal-' || CAST(d.doc_id % 7 AS VARCHAR) AS seal_hash,
-  'Person ' || CAST(d.doc_id % 40 AS VARCHAR) AS employee_name, 'Firm ' || CAST(d.doc_id % 5 AS VARCHAR) AS employer_name, d.doc_id % 9 * 1000.0 AS salary,
-  list_sort(list_distinct(regexp_extract_all(replace(lower(regexp_replace(text, '[0-9]', ' ', 'g')), 'person ' || CAST(d.doc_id % 40 AS VARCHAR), '<employee>'), '[a-z<>]{3,}')))[1:120] AS tokens
-FROM docs d JOIN print_bits ON d.doc_id = vec_id JOIN embeddings e ON e.vec_id = d.doc_id"""
+_HEX = "0123456789abcdef"
+_NIBBLE = "CASE x " + " ".join(f"WHEN '{c}' THEN '{i:04b}'" for i, c in enumerate(_HEX)) + " END"
+EXTRA_VIEWS["print_rows"] = rf"""SELECT doc_id, t, content_hash, array_to_string(list_transform(string_split(substr(look, 1, 15) || substr('{_HEX}', CAST(doc_id % 16 AS INT) + 1, 1), ''), lambda x: {_NIBBLE}), '') AS bits,
+  'layout-' || substr(look, 16, 1) || CAST(doc_id % 2 AS VARCHAR) AS layout_hash, 'seal-' || CAST(doc_id % 7 AS VARCHAR) AS seal_hash,
+  'Person ' || CAST(doc_id % 40 AS VARCHAR) AS employee_name, 'Firm ' || CAST(doc_id % 5 AS VARCHAR) AS employer_name, doc_id % 9 * 1000.0 AS salary,
+  list_sort(list_distinct(regexp_extract_all(replace(lower(regexp_replace(text, '[0-9]', ' ', 'g')), 'person ' || CAST(doc_id % 40 AS VARCHAR), '<employee>'), '[a-z<>]{{3,}}'))) AS tokens
+FROM (SELECT *, md5(substr(text, 1, 40)) AS look FROM docs) d"""
 
 
 @query("""SELECT doc_id, content_hash AS document_hash, layout_hash, seal_hash, employee_name, employer_name, bits FROM print_rows""")
@@ -362,23 +365,24 @@ def layout_hash(v: Inputs) -> DataFrame:
     return similarity.layout_hashes(blocks)
 
 
-EXTRA_VIEWS["numbered_prints"] = "SELECT *, row_number() OVER (ORDER BY t, doc_id) AS rn FROM print_rows"
-EXTRA_VIEWS["pair_scores"] = """SELECT a.doc_id, b.doc_id AS other_doc_id, bit_count(xor(CAST(a.bits AS BIT), CAST(b.bits AS BIT))) AS distance,
+# What every pair has without its texts; pairs that even equal texts would leave under the threshold are not scored.
+EXTRA_VIEWS["bare_pairs"] = """SELECT a.doc_id, b.doc_id AS other_doc_id, bit_count(xor(CAST(a.bits AS BIT), CAST(b.bits AS BIT))) AS distance,
   a.layout_hash = b.layout_hash AS same_layout, a.seal_hash = b.seal_hash AS same_seal, a.employer_name = b.employer_name AS same_employer, abs(a.salary - b.salary) < 1 AS same_salary,
-  a.employee_name <> b.employee_name AS different_employee, a.content_hash = b.content_hash AS same_content,
-  CASE WHEN len(a.tokens) + len(b.tokens) = 0 THEN 0 ELSE CAST(len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) / len(list_distinct(list_concat(a.tokens, b.tokens))) END AS j
-FROM numbered_prints a JOIN numbered_prints b ON a.rn - b.rn BETWEEN 1 AND 500"""
-EXTRA_VIEWS["scored_pairs"] = """SELECT *, CAST(round(CAST(round(least(1.0, (1.0 - distance / 64.0) * 0.42 + CASE WHEN same_layout THEN 0.17 ELSE 0 END + j * 0.29 + CASE WHEN same_employer THEN 0.08 ELSE 0 END
-  + CASE WHEN same_salary THEN 0.04 ELSE 0 END + CASE WHEN same_seal THEN 0.03 ELSE 0 END), 9) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score FROM pair_scores"""
+  a.employee_name <> b.employee_name AS different_employee, a.content_hash = b.content_hash AS same_content, a.tokens AS x, b.tokens AS y
+FROM print_rows a JOIN print_rows b ON a.t > b.t OR (a.t = b.t AND a.doc_id > b.doc_id)"""
+EXTRA_VIEWS["pair_scores"] = """SELECT *, (1.0 - distance / 64.0) * 0.42 + CASE WHEN same_layout THEN 0.17 ELSE 0 END + CASE WHEN same_employer THEN 0.08 ELSE 0 END
+  + CASE WHEN same_salary THEN 0.04 ELSE 0 END + CASE WHEN same_seal THEN 0.03 ELSE 0 END AS bare FROM bare_pairs"""
+EXTRA_VIEWS["scored_pairs"] = """SELECT * FROM (SELECT *, CAST(round(CAST(round(least(1.0, bare + 0.29 * CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END), 9) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score
+FROM pair_scores WHERE bare + 0.29 >= 0.799) p WHERE score >= 0.8"""
 
 
 def _scored(v: Inputs) -> DataFrame:
-    return similarity.compare(similarity.candidates(_prints(v)))
+    return similarity.similar(_prints(v))
 
 
-@query("SELECT doc_id, other_doc_id FROM pair_scores")
+@query("SELECT doc_id, other_doc_id FROM scored_pairs")
 def similarity_candidates(v: Inputs) -> DataFrame:
-    return similarity.candidates(_prints(v).select("doc_id", "t")).select(F.col("cur.doc_id").alias("doc_id"), F.col("old.doc_id").alias("other_doc_id"))
+    return _scored(v).select("doc_id", "other_doc_id")
 
 
 @query("SELECT doc_id, other_doc_id, CAST(distance AS INT) AS distance, same_layout, same_employer, same_salary, same_seal, different_employee, same_content, score FROM scored_pairs")
@@ -386,10 +390,9 @@ def fingerprint_similarity(v: Inputs) -> DataFrame:
     return _scored(v).drop("visual_similarity", "text_similarity")
 
 
-# The given fingerprints are random, so a lower threshold shows matches.
-@query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_pairs WHERE score >= 0.45 AND different_employee) m WHERE rn <= 10")
+@query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_pairs WHERE different_employee) m WHERE rn <= 10")
 def similarity_matches(v: Inputs) -> DataFrame:
-    return similarity.matches(_scored(v), 0.45).select("doc_id", "other_doc_id", "score", "rank")
+    return similarity.matches(_scored(v)).select("doc_id", "other_doc_id", "score", "rank")
 
 
 @query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_pairs) m WHERE rn <= 10")
@@ -398,11 +401,11 @@ def similarity_topk(v: Inputs) -> DataFrame:
 
 
 @query("""SELECT doc_id, d AS is_duplicate, m AS top_similar, CASE WHEN d THEN CAST(0.35 AS DOUBLE) END AS duplicate_value, CASE WHEN NOT d AND m IS NOT NULL THEN round(least(0.35, greatest(0.2, m * 0.35)), 6) END AS similar_value
-FROM (SELECT doc_id, bool_or(same_content OR s >= 0.99) AS d, max(CASE WHEN s >= 0.85 AND s < 0.99 THEN s END) AS m FROM (SELECT *, round(least(score * 2, 1.0), 4) AS s FROM scored_pairs) x GROUP BY doc_id) g""")
+FROM (SELECT doc_id, bool_or(same OR s >= 0.99) AS d, max(CASE WHEN s >= 0.85 AND s < 0.99 THEN s END) AS m FROM (SELECT doc_id, false AS same, score AS s FROM scored_pairs
+  UNION ALL SELECT DISTINCT doc_id, true, 0.0 FROM bare_pairs WHERE same_content) x GROUP BY doc_id) g""")
 def similar_document_signal(v: Inputs) -> DataFrame:
-    """Scores are doubled so that the given fingerprints reach the bands."""
-    doubled = _scored(v).withColumn("score", F.round(F.least(F.col("score") * 2, F.lit(1.0)), 4))
-    return similarity.similar_signal(doubled).withColumn("similar_value", F.round("similar_value", 6))
+    prints = _prints(v)
+    return similarity.similar_signal(similarity.similar(prints), prints).withColumn("similar_value", F.round("similar_value", 6))
 
 
 @query("""SELECT a.vec_id AS doc_id, CAST(bit_count(xor(CAST(a.bits AS BIT), CAST(r.bits AS BIT))) AS INT) AS distance,

@@ -58,12 +58,26 @@ def test_trailing_count_and_last_items(spark):
         assert r.last == ([o[0] for o in sorted(before, key=lambda o: (o[2], o[0]))] + [r.doc_id])[-4:]
 
 
-def test_recent_pairs(spark):
-    rows = sorted(skewed(90), key=lambda r: (r[2], r[0]))
-    df = ordered.recent_pairs(spark.createDataFrame(rows, SCHEMA), ["t", "doc_id"], history.time_chunk("t", "doc_id", HOUR), 7)
-    got = {(r.a, r.b) for r in df.select(F.col("cur.doc_id").alias("a"), F.col("old.doc_id").alias("b")).collect()}
-    ids = [r[0] for r in rows]
-    assert got == {(ids[i], ids[j]) for i in range(len(ids)) for j in range(max(0, i - 7), i)}
+def test_similar_pairs_by_brute_force(spark):
+    """No pair at the threshold is lost, however far back the other document lies; nothing is compared by its first tokens alone."""
+    rng = random.Random(8)
+    rows = []
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    bases = [rng.sample(words, 150) for _ in range(30)]
+    for i in range(700):
+        base = list(bases[i % 30]) if i < 60 or i > 640 else rng.sample(words, 150)
+        for _ in range(rng.randint(0, 12)):
+            base[rng.randrange(150)] = rng.choice(words)
+        look = rng.getrandbits(64) if 60 <= i <= 640 else (i % 30 * 0x9E3779B97F4A7C15 & (1 << 64) - 1) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        rows.append((i, " ".join(base), f"h{i}", f"{look:016x}" if i % 9 else None, f"L{i % 3}", "S", f"P{i % 5}", f"F{i % 2}", 5.0, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content_hash string, page_phash string, layout_hash string, seal_hash string, employee_name string, employer_name string, salary double, t long")
+    prints = similarity.fingerprints(docs).persist()
+    ready = similarity._prepared(prints)
+    cur, old = ready.select(F.struct(*ready.columns).alias("cur")), ready.select(F.struct(*ready.columns).alias("old"))
+    every = similarity.compare(cur.join(old, F.col("cur.t") > F.col("old.t"))).filter("score >= 0.8")
+    want = {(r.doc_id, r.other_doc_id, r.score) for r in every.collect()}
+    got = {(r.doc_id, r.other_doc_id, r.score) for r in similarity.similar(prints).collect()}
+    assert got == want and len(want) > 20 and any(a - b > 500 for a, b, _ in want)
 
 
 def test_repeat_pattern_equals_pairs(spark):
