@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per Python worker: later tasks find the pieces it has met."""
+    return Encoder(path)
+
+
 def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
@@ -132,7 +139,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shards:
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), None
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         size = encoder.dtype.itemsize
         shard = TaskContext.get().partitionId()
