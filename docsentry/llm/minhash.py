@@ -45,6 +45,7 @@ _MEMO = 300_000
 _BLOCK = 1 << 17
 #: Items on each side of a block of the last round.
 BLOCK_ITEMS = 400_000
+SALTS = 64
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -187,11 +188,17 @@ def _lowest_estimate(percent: int) -> float:
     return percent / 100 - SLACK * deviation
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Every larger node has one smaller neighbour, and that has none."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        pairs.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return _empty(ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of each node in ``edges``: the smallest node reachable. Alternating star steps, no node gathers its links."""
     pairs = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
-    state = None
-    while True:
+    while not _stars(pairs):
         # large star: a node's larger neighbours go to its smallest neighbour
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -200,12 +207,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         pairs = cut_lineage(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
-    return cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-                       .unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -244,8 +246,9 @@ def _links_across(members: DataFrame, percent: int) -> DataFrame:
     parts = parts.groupBy("cluster").agg(F.max(F.struct("held", "root")).alias("main"), F.max_by("items", F.struct("held", "root")).alias("main_items"), F.sum("items").alias("items"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_ITEMS)).cast("int")
     parts = parts.select("cluster", F.col("main.root").alias("main"), blocks(F.col("items") - F.col("main_items")).alias("rows"), blocks(F.col("items")).alias("columns"))
-    placed = members.join(parts, "cluster")
     draw = F.xxhash64("fp")
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large cluster's members meet its row in many tasks
+    placed = members.withColumn("salt", F.pmod(draw, F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"])
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     content = ["cluster", "fp", "root", "keys", "bits", "items"]
     asks = placed.filter("root != main").select(*content, F.lit(True).alias("asks"), F.pmod(draw, F.col("rows")).cast("int").alias("row"), every("columns").alias("column"))
