@@ -6,6 +6,7 @@ arrive after later ones are judged by what is known then, and the batch twin see
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import Any
 
@@ -42,7 +43,12 @@ class RateLimit(StatefulProcessor):
 
 
 class DeviceClone(StatefulProcessor):
-    """Submissions of a device in the last 24 hours. State: their times, older ones dropped."""
+    """Submissions of a device in the 24 hours up to each. State: their times in order, up to an hour longer than that.
+
+    A row up to ``LATE`` behind the newest one is counted among the times around its own, as the batch twin does.
+    """
+
+    LATE = 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.times = handle.getListState("times", "t bigint")
@@ -50,13 +56,11 @@ class DeviceClone(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, ["t", "doc_id"])
         window = [int(r[0]) for r in self.times.get()]
-        counts, start = [], 0
+        counts = []
         for t in batch["t"]:
-            window.append(int(t))
-            while window[start] < t - DAY:
-                start += 1
-            counts.append(len(window) - start)
-        self.times.put([(t,) for t in window[start:]])
+            bisect.insort(window, int(t))
+            counts.append(bisect.bisect_right(window, t) - bisect.bisect_left(window, t - DAY))
+        self.times.put([(t,) for t in window[bisect.bisect_left(window, window[-1] - DAY - self.LATE) :]])
         n = pd.Series(counts, dtype="int64")
         score = ((n - 3) * 0.05 + 0.10).clip(upper=0.30).where(n > 3, 0.0)
         yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": key[0], "submissions_24h": n, "clone_score": score})

@@ -1,7 +1,9 @@
+import pandas as pd
+
 from docsentry.plans import catalog
 from docsentry.sources import readers, writers
 from docsentry.sources.bindings import Inputs
-from docsentry.streaming import jobs
+from docsentry.streaming import jobs, processors
 
 from .conftest import SMALL
 
@@ -46,3 +48,33 @@ def test_name_ratio_queries_equal_difflib(spark):
     for r in catalog.queries()["bill_consumer_match"](spark, SMALL).collect():
         want = difflib.SequenceMatcher(None, r.consumer_name.lower(), names[r.doc_id].lower()).ratio()
         assert abs(r.name_ratio - want) < 1e-4 and r.consumer_mismatch == (want < 0.75)
+
+
+class _Handle:
+    """State that lasts from one call to the next, as the engine keeps it."""
+
+    def __init__(self):
+        self.rows = []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+
+def test_late_rows_are_counted_at_their_own_time():
+    hour = 3_600_000_000
+    batches = [[(1, 0), (2, 2 * hour)], [(3, 30 * hour)], [(4, 29 * hour + hour // 2), (5, 31 * hour)]]
+    clone, handle, got = processors.DeviceClone(), _Handle(), {}
+    clone.init(handle)
+    for batch in batches:
+        frame = pd.DataFrame(batch, columns=["doc_id", "t"])
+        for out in clone.handleInputRows(("fp",), iter([frame]), None):
+            got |= dict(zip(out["doc_id"], out["submissions_24h"]))
+    # the late fourth does not count the third, which is newer, and the fifth counts both
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 3}
+    assert all(t >= 31 * hour - 25 * hour for (t,) in handle.rows)
