@@ -34,7 +34,7 @@ STRETCH, EMBED, HIDDEN = 24, 8, 16
 TRAIN_DOCS, TRAIN_WORDS, MAX_LANGUAGES = 400, 60_000, 64
 EPOCHS, BATCH, RATE, SEED = 4, 512, 0.01, 3
 UNKNOWN = "und"
-_MEMO = 300_000
+_MEMO = 600_000
 _OUTER = string.punctuation + string.digits
 
 
