@@ -131,3 +131,25 @@ def test_license_scan(spark):
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scanned(docs).collect()}
     assert got == {(80, 1, "CC-BY-NC"), (81, 0, "GPL-3.0"), (82, 0, "MIT"), (1016, 0, "Apache-2.0")}
     assert licenses.scanned(empty_docs(spark)).count() == 0
+
+
+PLANTED = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "proprietary",
+           "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
+
+
+def test_license_lines_of_every_kind_in_the_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scanned(docs).collect()}
+    lines = [(r["doc_id"], i, line.strip()) for r in docs.collect() for i, line in enumerate((r["text"] or "").split("\n"))]
+    want = {(d, i, PLANTED[line]) for d, i, line in lines if line in PLANTED}
+    assert {f for _, _, f in want} == set(PLANTED.values()) and want <= got
+
+
+def test_shortest_license_notices(spark):
+    spdx = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1": "LGPL", "AGPL-3.0": "AGPL-3.0", "BSD-3-Clause": "BSD",
+            "MPL-2.0": "MPL-2.0", "ISC": "ISC", "CC-BY-4.0": "CC-BY", "CC-BY-SA-4.0": "CC-BY-SA", "CC-BY-NC-4.0": "CC-BY-NC", "CC0-1.0": "CC0"}
+    notices = [("All rights reserved.", "proprietary"), ("Copyright (c) 2019 Example Ltd. All rights reserved.", "proprietary"),
+               *[(f"// SPDX-License-Identifier: {name}", family) for name, family in spdx.items()]]
+    texts = [prose(i, 40) for i in range(60)] + [f"{prose(700 + i, 12)}\n{n}" for i, (n, _) in enumerate(notices)]
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scanned(plain_docs(spark, texts)).collect()}
+    assert got == {(60 + i, 1, f) for i, (_, f) in enumerate(notices)}
