@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -153,3 +154,16 @@ def test_shortest_license_notices(spark):
     texts = [prose(i, 40) for i in range(60)] + [f"{prose(700 + i, 12)}\n{n}" for i, (n, _) in enumerate(notices)]
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scanned(plain_docs(spark, texts)).collect()}
     assert got == {(60 + i, 1, f) for i, (_, f) in enumerate(notices)}
+
+
+def test_wrapped_and_enclosed_license_notices(spark):
+    mit, bsd = (next(t for f, t in licenses.TEMPLATES if f == family and len(t) > 100) for family in ("MIT", "BSD"))
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(mit, 70))
+    header = "# Copyright 2019 Example\n# All rights reserved.\n#\n" + "\n".join(f"# {line}" for line in textwrap.wrap(bsd, 72))
+    words = bsd.split()
+    notices = {60: f"{prose(801, 30)}\n{wrapped}\n{prose(802, 30)}", 61: header, 62: f"{prose(803, 300)} Licensed under the Apache License, Version 2.0. {prose(804, 300)}",
+               63: f"{prose(805, 200)} Released under the MIT License. {prose(806, 90)} All rights reserved. {prose(807, 90)} Released under the MIT License.",
+               64: " ".join([prose(808, 100), *words[:9], "as", "well", "as", *words[9:], prose(809, 100)])}
+    docs = plain_docs(spark, [prose(i, 40) for i in range(60)] + list(notices.values()))
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scanned(docs).collect())
+    assert got == [(60, 1, "MIT"), (61, 1, "proprietary"), (61, 3, "BSD"), (62, 0, "Apache-2.0"), (63, 0, "MIT"), (63, 0, "MIT"), (63, 0, "proprietary"), (64, 0, "BSD")]
