@@ -16,9 +16,10 @@ packed. From there on only these short rows move:
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 
-Defined results: null or word-free texts have an empty set and are linked with nothing; documents without an id take part as exact
-copies only, and one left without a named component is kept; repeated rows form one component; ties go to the smaller id;
-an empty table gives an empty result; other columns are not read.
+Defined results: null or word-free texts have an empty set and are linked with nothing; documents without an id are linked by their
+texts like others, and a component without any id has no name (all its rows are reported as kept, ``deduplicated`` keeps one);
+rows that share an id are judged each by its own text; repeated rows form one component; ties go to the smaller id; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -125,10 +126,14 @@ def _blocks(sets: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray
         yield at, block
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit fingerprint of the set, null if empty), keys, bits."""
+    """doc_id, text_key (hash of the text), n_shingles, fp (128-bit fingerprint of the set, null if empty), keys, bits."""
     id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()),
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()),
                            T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +151,11 @@ def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
                     for j, i in enumerate(at):
                         fps[i], keys[i], bits[i] = prints[j].tobytes(), band_keys[j].view(np.int64), packed[j].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()),
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()),
                      pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp", "keys", "bits"])
+                    ["doc_id", "text_key", "n_shingles", "fp", "keys", "bits"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("text_key")).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -308,11 +313,14 @@ def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable), kept (it is that id itself)."""
+def grouped_sets(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, fp of each row; fp and ``first`` of each set that several rows or sets share a component with).
+
+    ``first`` (unnamed, doc_id, text_key) is the row that stands for the component: the smallest id, nulls last, then the smallest hash of the text.
+    """
     rows = cut_lineage(signatures(docs, shingle_words))
     nodes = rows.filter("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"),
         F.first("keys").alias("keys"))
     nodes = cut_lineage(nodes)
     marks = nodes.select("fp", "n", "bits")
@@ -331,10 +339,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     pairs = cut_lineage(pairs.select("a", "b", "likeness"))
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    unnamed = not _empty(nodes.filter("first.unnamed"))
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        needed = needed.distinct().join(nodes.select("fp", F.col("first_id").alias("doc_id")), "fp").filter("doc_id is not null")
-        return cut_lineage(shingle_sets(needed.join(texts, "doc_id").select("fp", "text"), shingle_words).dropDuplicates(["fp"]))
+        needed = needed.distinct().join(nodes.select("fp", "first.*"), "fp")
+        found = needed.filter("not unnamed").select("fp", "doc_id").join(texts, "doc_id").select("fp", "text")
+        if unnamed:  # sets that no document with an id has: their texts by hash, each text once
+            asked = needed.filter("unnamed").select("fp", "text_key")
+            own = texts.filter("doc_id is null").select(text_key().alias("text_key"), "text").join(asked.select("text_key").distinct(), "text_key", "left_semi")
+            found = found.unionAll(asked.join(own.groupBy("text_key").agg(F.min("text").alias("text")), "text_key").select("fp", "text"))
+        return cut_lineage(shingle_sets(found, shingle_words).dropDuplicates(["fp"]))
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")))
     best = pairs.select(F.col("b").alias("x"), "a", "b", "likeness").unionAll(pairs.select(F.col("a").alias("x"), "a", "b", "likeness"))
@@ -365,21 +379,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             edges = cut_lineage(edges.unionAll(more))
             roots = components(edges, "a", "b")
 
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     grown = named.filter("copies > 1").unionAll(named.filter("copies = 1").join(roots.select("root").distinct(), "root", "left_semi")
-                                                .select("fp", "first_id", "copies", "root"))
-    names = grown.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = grown.join(names, "root").select("fp", "component_id")
+                                                .select("fp", "first", "copies", "root"))
+    names = grown.groupBy("root").agg(F.min("first").alias("first"))
+    names = grown.select("fp", "root").join(names, "root").select("fp", "first")
+    return rows.select("doc_id", "text_key", "n_shingles", "fp"), names
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable), kept (it is that id itself)."""
+    rows, names = grouped_sets(docs, shingle_words, percent)
     own = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", "fp").join(names, "fp", "left").select(
+    return rows.join(names.select("fp", F.col("first.doc_id").alias("component_id")), "fp", "left").select(
         "doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those that a smaller id of their group stands for, columns unchanged; of rows with one id, one stays."""
-    gone = near_duplicates(docs, shingle_words, percent).filter("not kept").select("doc_id").distinct()
-    doubled = cut_lineage(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """One row of ``docs`` for each component, columns unchanged, and all rows without words.
+
+    The row with the smallest id stays; where no row of the component has an id, or several texts share the smallest one, the
+    row with the smallest text hash. Rows that share an id but not a component are judged apart, by their texts. Of rows equal in id
+    and text one stays.
+    """
+    rows, names = grouped_sets(docs, shingle_words, percent)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    pair = ["doc_id", "text_key"]
+    gone = cut_lineage(rows.join(names, "fp").filter(~stays).select(*pair).distinct())
+    doubled = cut_lineage(rows.groupBy(*pair).count().filter("count > 1").select(*pair))
+
+    keyed = docs.withColumn("__text_key", text_key())
+
+    def joined(left: DataFrame, key: str, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left[key] == right["__key"]), how)
+
     if _empty(doubled):
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = docs.join(doubled.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.unionAll(doubled).distinct(), "doc_id", "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
+        return joined(keyed, "__text_key", gone, "left_anti").select(*docs.columns)
+    once = joined(keyed, "__text_key", joined(doubled, "text_key", gone, "left_anti"), "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    return joined(keyed, "__text_key", gone.unionAll(doubled).distinct(), "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))

@@ -112,3 +112,15 @@ def test_leaks_are_those_of_brute_force(spark):
     assert got == want and len(want) > 10
     clean = decontaminate.clean(plain_docs(spark, texts), bench)
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _, _ in want}
+
+
+def test_rows_without_id_and_clashing_ids_are_judged_by_their_texts(spark):
+    a, b, c, d, e = (prose(900 + i, 80) for i in range(5))
+    near = c.split()
+    near[40] = "other"
+    rows = [(None, a), (None, a), (None, a), (None, b), (3, b), (None, c), (None, " ".join(near)), (7, d), (7, e), (5, d), (8, prose(950, 50)), (8, prose(951, 50)), (8, prose(951, 50)), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicated(docs).collect()), key=str)
+    (unnamed,) = [t for i, t in got if i is None and t != a]
+    assert unnamed in (c, " ".join(near))
+    assert got == sorted([(None, a), (None, unnamed), (3, b), (5, d), (7, e), (8, prose(950, 50)), (8, prose(951, 50)), (9, "")], key=str)
