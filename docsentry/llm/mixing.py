@@ -12,8 +12,8 @@ size's documents into ``SLICES`` slices; whole slices are taken by their counts,
 ends is ranked, so a size that holds a third of all rows is never sorted in one task.
 
 Defined results: null texts have size 0 and are never taken in words; null sources are one source; an empty source's
-target is 0; rows that repeat an id are documents of their own in the report, and in ``mixed`` they share their copies
-evenly; ties in the hash go by id; an empty table gives an empty result; extra columns of documents are kept by ``mixed``.
+target is 0; rows that repeat an id are documents of their own, and each row is in ``mixed`` as often as the mix took it;
+rows without an id are drawn by their text; ties in the hash go by id, then by place in the table; an empty table gives an empty result; extra columns of documents are kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -98,12 +98,12 @@ def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
                          "quota": [taken.get(s, 0) for s in rows["size"].tolist()], "source_size": rows["source_size"], "target": rows["target"]})
 
 
-def mix(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (words the mix takes) of every document."""
+def _chosen(docs: DataFrame, place: Column, seed: int, **shares: object) -> DataFrame:
+    """doc_id, place, size, source_size, target, copies of every row; ``place`` tells rows apart."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))  # null is a source, too
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(F.col("text")).cast("string")), F.lit(seed))
     part = F.shiftrightunsigned(draw, 64 - SLICE_BITS)
-    rows = cut_lineage(docs.select("doc_id", key.alias("source_key"), words(F.col("text")).alias("size"), draw.alias("draw"), part.alias("slice")))
+    rows = cut_lineage(docs.select("doc_id", place.alias("place"), key.alias("source_key"), words(F.col("text")).alias("size"), draw.alias("draw"), part.alias("slice")))
     slices = cut_lineage(rows.groupBy("source_key", "size", "slice").agg(F.count(F.lit(1)).alias("held")))
     counts = slices.groupBy("source_key", "size").agg(F.sum("held").alias("documents"))
     sources = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
@@ -116,16 +116,22 @@ def mix(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
     plan = slices.join(plan, ["source_key", "size"]).withColumn("wanted", F.greatest(F.lit(0), F.least(F.col("held"), F.col("quota") - before)))
     placed = rows.join(cut_lineage(plan), ["source_key", "size", "slice"])
     split = placed.filter("wanted > 0 and wanted < held")
-    rank = F.row_number().over(Window.partitionBy("source_key", "size", "slice").orderBy("draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source_key", "size", "slice").orderBy("draw", "doc_id", "place"))
     chosen = placed.filter("wanted = 0 or wanted = held").withColumn("more", (F.col("wanted") > 0).cast("int"))
     chosen = chosen.unionByName(split.withColumn("more", (rank <= F.col("wanted")).cast("int")))
     copies = F.col("repeats") + F.col("more")
-    return chosen.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return chosen.select("doc_id", "place", "size", "source_size", "target", copies.cast("int").alias("copies"))
+
+
+def mix(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken (words the mix takes) of every document."""
+    chosen = _chosen(docs, F.monotonically_increasing_id(), seed, **shares)
+    return chosen.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
-    copies = mix(docs, seed, **shares).groupBy("doc_id").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.floor(F.col("all") / F.col("rows")).cast("int").alias("__copies")).filter("__copies > 0")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    placed = cut_lineage(docs.withColumn("__place", F.monotonically_increasing_id()))  # written once, so a row keeps its number
+    copies = _chosen(placed, F.col("__place"), seed, **shares).filter("copies > 0").select(F.col("place").alias("__place"), F.col("copies").alias("__copies"))
+    out = placed.join(copies, "__place")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -66,6 +66,24 @@ def test_size_that_holds_most_rows_is_taken_by_slices(spark):
         assert abs(sum(r["taken"] for r in rows if r["source_size"] == size) - goal) <= 3
 
 
+def test_every_row_is_mixed_as_often_as_reported(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 else i // 6, " ".join(f"w{i}" for _ in range(rng.randint(1, 9))), "abc"[i % 2 + i % 5 // 4]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    reported, mixed = ({}, {})
+    for r in mixing.mix(docs).collect():
+        key = (r["doc_id"], r["size"], r["source_size"])
+        reported[key] = reported.get(key, 0) + r["copies"]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    assert len(set(sizes.values())) == 3
+    for r in mixing.mixed(docs).collect():
+        key = (r["doc_id"], len(r["text"].split()), sizes[r["source"]])
+        mixed[key] = mixed.get(key, 0) + 1
+    assert mixed == {k: n for k, n in reported.items() if n} and any(k[0] is None for k in mixed)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = docs
