@@ -7,9 +7,9 @@ read on their own, a worker keeps the summed distributions of words it has met (
 numpy, for many new words at a time.
 
 The network is trained in numpy by backpropagation through time on a bounded sample: at most ``TRAIN_DOCS`` learning
-documents of each language in the order of a hash of the id, and of their distinct words the ``TRAIN_WORDS`` first by a
-hash, each with the languages it occurred in as soft labels. The seed fixes the weights. At most ``MAX_LANGUAGES``
-languages are learned, the most frequent ones.
+documents of each language in the order of a hash of the id, and of the distinct words of each language the first by frequency
+(up to 3) and a hash, each with the languages it occurred in as soft labels: ``TRAIN_WORDS`` divided by the number of languages,
+but not under ``LEAST_WORDS``, for each language. The seed fixes the weights. All languages of the learning rows are learned.
 
 Learning rows have a non-null language and crc32(doc_id as text) mod 5 other than 0.
 
@@ -27,14 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docsentry.llm.common import id_check
+from docsentry.session import cut_lineage
 
 STRETCH, EMBED, HIDDEN = 24, 8, 16
-TRAIN_DOCS, TRAIN_WORDS, MAX_LANGUAGES = 400, 60_000, 64
+TRAIN_DOCS, TRAIN_WORDS, LEAST_WORDS = 400, 60_000, 1000
 EPOCHS, BATCH, RATE, SEED = 4, 512, 0.01, 3
 UNKNOWN = "und"
-_MEMO = 600_000
+#: Numbers kept by a worker, and numbers made at once.
+_MEMO, _STEP = 3_000_000, 1 << 19
 _OUTER = string.punctuation + string.digits
 
 
@@ -46,6 +49,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+class SoftLabels:
+    """Shares of the languages of many words, few of them each; rows come dense."""
+
+    def __init__(self, rows: list[dict[int, int]], n: int) -> None:
+        self.n = n
+        self.starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.columns = np.fromiter((c for r in rows for c in r), np.int32, self.starts[-1])
+        self.shares = np.fromiter((x / sum(r.values()) for r in rows for x in r.values()), np.float32, self.starts[-1])
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), self.n), np.float32)
+        for i, j in enumerate(at):
+            own = slice(self.starts[j], self.starts[j + 1])
+            out[i, self.columns[own]] = self.shares[own]
+        return out
+
+
 class Network:
     """Byte embedding, a gated recurrent layer in each direction, a distribution for each position."""
 
@@ -133,8 +156,9 @@ class Network:
             grad[f"c{d}"] = table.sum(axis=0)
         return float(loss), grad
 
-    def train(self, stretches: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> float:
-        """Adam over shuffled batches of stretches of like length; the last epoch's mean loss."""
+    def train(self, stretches: list[bytes], labels: np.ndarray | SoftLabels, owners: np.ndarray | None = None, epochs: int = EPOCHS) -> float:
+        """Adam over shuffled batches of stretches of like length; the last epoch's mean loss. ``owners``: row of ``labels`` of each stretch."""
+        owners = np.arange(len(stretches)) if owners is None else owners
         rng = np.random.default_rng(SEED)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step, losses = 0, []
@@ -145,7 +169,7 @@ class Network:
             losses = []
             for s in starts:
                 some = order[s : s + BATCH]
-                loss, grad = self.gradients([stretches[i] for i in some], labels[some])
+                loss, grad = self.gradients([stretches[i] for i in some], labels[owners[some]])
                 losses.append(loss)
                 step += 1
                 rate = RATE * (0.5**epoch)
@@ -190,8 +214,9 @@ class Reader:
         self.sums[self.used : need] = 0
         self.used = need
         order = sorted(range(len(parts)), key=lambda j: len(parts[j]))
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
+        most = min(4096, max(64, _STEP // self.k))
+        for at in range(0, len(order), most):
+            some = order[at : at + most]
             p, there, _ = self.network.positions([parts[j] for j in some])
             got = np.concatenate([(p * there[:, :, None]).sum(axis=0), there.sum(axis=0)[:, None]], axis=1)
             np.add.at(self.sums, [owner[j] for j in some], got)
@@ -201,7 +226,7 @@ class Reader:
         cut = [t.split() if t else [] for t in texts]
         every = set().union(*cut)
         new = every.difference(self.place)
-        if self.used + len(new) > _MEMO:
+        if self.used + len(new) > max(10_000, _MEMO // (self.k + 1)):
             self._forget()
             new = every
         self._learn(list(new))
@@ -212,18 +237,17 @@ class Reader:
         return out
 
 
-def training_words(docs: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
+def training_words(docs: DataFrame) -> tuple[list[str], list[str], SoftLabels]:
     """(languages, words, soft labels) of the bounded sample described above."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(id_check("doc_id") % 5, F.lit(1)) != 0))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    sizes = sorted((r["lang"], r["count"]) for r in sizes)
+    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())
     if not sizes:
-        return [], [], np.zeros((0, 0))
+        return [], [], SoftLabels([], 0)
     # a hash of the id under a level that differs by language admits about TRAIN_DOCS documents of each
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(1 << 30))
-    level = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1 << 30, (TRAIN_DOCS << 30) // n)))])
-    some = known.filter(draw < F.coalesce(level[F.col("lang")], F.lit(0)))
+    levels = docs.sparkSession.createDataFrame([(lang, min(1 << 30, (TRAIN_DOCS << 30) // n)) for lang, n in sizes], "lang string, level long")
+    some = known.join(F.broadcast(levels), "lang").filter(draw < F.col("level"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +259,15 @@ def training_words(docs: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
                 langs += [lang] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], ["lang", "word"])
 
-    counts = some.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-    per_word = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    rows = per_word.orderBy(F.desc(F.least("n", F.lit(3))), F.xxhash64("word")).limit(TRAIN_WORDS).collect()
+    counts = cut_lineage(some.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.least("n", F.lit(3))), F.xxhash64("word"), "word"))
+    most = max(LEAST_WORDS, TRAIN_WORDS // len(sizes))
+    taken = counts.select("word", place.alias("place")).filter(F.col("place") <= most).select("word").distinct()
+    per_word = counts.join(taken, "word").groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+    rows = per_word.orderBy(F.xxhash64("word"), "word").collect()
     langs = [lang for lang, _ in sizes]
-    labels = np.array([[r["by"].get(lang, 0) for lang in langs] for r in rows], np.float32).reshape(len(rows), len(langs))
-    return langs, [r["word"] for r in rows], labels / np.maximum(labels.sum(axis=1, keepdims=True), 1)
+    at = {lang: i for i, lang in enumerate(langs)}
+    return langs, [r["word"] for r in rows], SoftLabels([{at[x["lang"]]: x["n"] for x in r["by"]} for r in rows], len(langs))
 
 
 def trained(docs: DataFrame) -> Network | None:
@@ -253,7 +280,7 @@ def trained(docs: DataFrame) -> Network | None:
             parts.append(part)
             rows.append(i)
     network = Network(langs)
-    network.train(parts, labels[rows])
+    network.train(parts, labels, np.array(rows))
     return network
 
 

@@ -95,6 +95,15 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]] for r in out if r["held_out"]]) > 0.97
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(90)]
+    rows = [(i * 90 + j, f"{prose(i * 90 + j, 12)} only{'x' * (j // 26)}{chr(97 + j % 26)}", lang) for i in range(8) for j, lang in enumerate(names)]
+    langs, words, labels = language.training_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == names
+    own = [labels[np.array([words.index(f"only{'x' * (j // 26)}{chr(97 + j % 26)}")])][0] for j in range(90)]
+    assert all(w.argmax() == j and w[j] == 1 for j, w in enumerate(own))
+
+
 def brute_rule(host, path):
     best = None
     for h, p, v in corpus.URL_RULES:
