@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsentry.llm import (clustering, decontaminate, language, licenses, minhash, mixing, pieces, quality_model, quality_rules, token_counts,
+from docsentry.llm import (checks, clustering, decontaminate, dialogs, language, licenses, minhash, mixing, pieces, quality_model, quality_rules, token_counts,
                            token_files, url_filter)
 from docsentry.llm.common import table
 
@@ -80,6 +80,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.coded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogs.report(dialogs.repaired(dialogs.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = clustering.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256.0, tag="2:")
     components = F.array_join(F.col("centroid").cast("array<string>"), ",")
@@ -98,27 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
-def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
-    """Every round as a table of assignments and one of centroids, in whole numbers."""
-    fine = "embedding IS NOT NULL AND len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64"
-    steps = [f"kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {fine})",
-             f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS cluster, v AS c FROM kept
-QUALIFY row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) <= {k})"""]
-    far = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-    for i in range(rounds + 1):
-        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, CAST(min(d) AS BIGINT) AS distance, arg_min(cluster, d * {k} + cluster) AS cluster
-FROM (SELECT vec_id, v, cluster, {far} AS d FROM kept, c{i}) GROUP BY vec_id)""")
-        if i < rounds:
-            steps.append(f"""m{i} AS (SELECT cluster, list(q ORDER BY d) AS c FROM (SELECT cluster, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
-FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS d FROM a{i}) GROUP BY cluster, d) GROUP BY cluster)""")
-            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))")
-    return "WITH " + ",\n".join(steps) + f"""
-SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
-sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
-
-
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHECKS: dict[str, str] = {
     "op1_minhash_near_dedup": rf"""WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -128,5 +114,6 @@ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM own a JOIN own
 links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
 reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, CASE WHEN l.x = r.other THEN l.y ELSE l.x END FROM reached r JOIN links l ON r.other = l.x OR r.other = l.y)
 SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, min(other) = r.doc_id AS kept FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
-    "op13_centroid_clustering": _clusters_sql(),
+    "op12_conversation_repair": checks.conversations(),
+    "op13_centroid_clustering": checks.clusters(),
 }
