@@ -7,7 +7,8 @@ their bytes' pieces or, in a model without these, the unknown id, once for each
 
 No join can span a border between two characters that stand side by side in no piece of the vocabulary, so texts are cut there, which keeps
 agendas short on texts without blanks, too. Words come again and again: the ids of short ones are kept, up to a bound in
-bytes. In every Arrow batch the ids are compared with the sentencepiece library's, and a difference ends the job; the library then
+bytes. The short words of a batch that were not met before have their agendas side by side in one matrix, a row per word and an entry per adjacent
+pair: each step joins every word's best pair. In every Arrow batch the ids are compared with the sentencepiece library's, and a difference ends the job; the library then
 decodes them.
 
 Defined results: a null or empty text has no ids and decodes to an empty one; very long texts are cut as any other; repeated rows
@@ -30,15 +31,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = "▁"
-_STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Bytes of words and ids that a worker keeps, with what Python needs for each entry; longer words are not kept.
 _MEMO_BYTES, _ENTRY_BYTES, _KEPT_CHARS = 160 << 20, 180, 48
+#: Words in a matrix of agendas.
+_MATRIX_ROWS = 16_384
+_NONE = np.iinfo(np.int32).max
 _PLACE = 40
 _PLACES = (1 << _PLACE) - 1
 #: Characters of text that go to the library at once.
 _PART_CHARS = 2 << 20
 
 
+class Pairs:
+    """Ranks and results of all pairs of symbols that join to a piece, in a table with open addressing."""
+
+    def __init__(self, ranks: dict[str, int], ids: dict[str, int]) -> None:
+        names = [*ranks, *sorted({c for p in ranks for c in p if c not in ranks})]
+        place = {s: k for k, s in enumerate(names)}
+        self.n = len(names)
+        #: ids of symbols; -1 for characters that are no pieces themselves
+        self.ids = np.array([ids.get(s, -1) for s in names], np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for s, k in place.items():
+            if len(s) == 1:
+                self.symbol_of[ord(s)] = k
+        found = [(place[a] * self.n + place[b], rank, k) for k, (p, rank) in enumerate(ranks.items()) for c in range(1, len(p)) if (a := p[:c]) in place and (b := p[c:]) in place]
+        keys, rank, joined = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.rank, self.joined = np.full(1 << self.bits, _NONE, np.int32), np.full(1 << self.bits, -1, np.int32)
+        slots, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slots[left]] < 0
+            taker, first = np.unique(slots[left][free], return_index=True)
+            winners = left[free][first]
+            self.keys[taker], self.rank[taker], self.joined[taker] = keys[winners], rank[winners], joined[winners]
+            left = np.setdiff1d(left, winners)
+            slots[left] = (slots[left] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Slots of pairs; a slot without a key for those that join to nothing (a negative symbol is none)."""
+        keys = np.where((a < 0) | (b < 0), self.n * self.n, a.astype(np.int64) * self.n + b)
+        slots = self._slot(keys)
+        away = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] >= 0))
+        while len(away):
+            slots[away] = (slots[away] + 1) % len(self.keys)
+            held = self.keys[slots[away]]
+            away = away[(held != keys[away]) & (held >= 0)]
+        return slots
+
+    def agendas(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of symbols (then -1) after all joins: each step takes the best entry of every row, of equal ones the leftmost."""
+        out, own = np.full_like(rows, -1), np.arange(len(rows))
+        ranks = self.rank[self.find(rows[:, :-1].ravel(), rows[:, 1:].ravel())].reshape(len(rows), -1)
+        while len(own):
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(own), np.int64)
+            busy = ranks[np.arange(len(own)), at] < _NONE if ranks.shape[1] else np.zeros(len(own), bool)
+            out[own[~busy], : rows.shape[1]] = rows[~busy]
+            own, rows, ranks, at = own[busy], rows[busy], ranks[busy], at[busy]
+            if not len(own):
+                break
+            n, width = rows.shape
+            each, columns = np.arange(n), np.arange(width - 1)
+            pair = self.joined[self.find(rows[each, at], rows[each, at + 1])]
+            rows = np.take_along_axis(rows, columns + (columns > at[:, None]), axis=1)
+            rows[each, at] = pair
+            ranks = np.take_along_axis(ranks, (columns + (columns >= at[:, None]))[:, :-1], axis=1)
+            after, before = np.flatnonzero(at < width - 2), np.flatnonzero(at > 0)
+            k = at[after]
+            ranks[after, k] = self.rank[self.find(rows[after, k], rows[after, k + 1])]
+            k = at[before]
+            ranks[before, k - 1] = self.rank[self.find(rows[before, k - 1], rows[before, k])]
+        return out
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -62,6 +131,9 @@ class Encoder:
         self.sides = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         #: whether a blank can only begin a piece or follow other blanks
         self.words_apart = not any(s[1] == BLANK and s[0] != BLANK for s in self.sides)
+        apart = "".join(c for c in "\n\t" if not any(c in s for s in self.sides))
+        self.stretches = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + (f"|[{apart}]" if apart else ""))
+        self.pairs = Pairs(self.ranks, self.ids)
         self.known: dict[str, bytes] = {}
         self.kept = 0
 
@@ -107,52 +179,80 @@ class Encoder:
 
     def _stretch(self, text: str) -> bytes:
         """Ids, as 32-bit words, of text between borders that no piece spans."""
-        raw = self.known.get(text)
-        if raw is None:
-            ids, byte = [], self.bytes
-            for s in self.joined(text) if len(text) > 1 else text:
-                if s in self.ids:
-                    ids.append(self.ids[s])
-                elif byte:
-                    ids += [byte[b] for b in s.encode()]
-                else:
-                    ids.append(-1)  # unknown
-            raw = array("i", ids).tobytes()
-            self._keep(text, raw)
-        return raw
+        ids, byte = [], self.bytes
+        for s in self.joined(text) if len(text) > 1 else text:
+            if s in self.ids:
+                ids.append(self.ids[s])
+            elif byte:
+                ids += [byte[b] for b in s.encode()]
+            else:
+                ids.append(-1)  # unknown
+        return array("i", ids).tobytes()
 
     def _keep(self, text: str, raw: bytes) -> None:
-        if len(text) <= _KEPT_CHARS:
-            size = _ENTRY_BYTES + 2 * len(text) + len(raw)
-            if self.kept + size > _MEMO_BYTES:
-                self.known.clear()
-                self.kept = 0
-            self.known[text] = raw
-            self.kept += size
+        self.known[text] = raw
+        self.kept += _ENTRY_BYTES + 2 * len(text) + len(raw)
 
     def _cut(self, word: str) -> bytes:
+        """Ids of a word between borders that no piece spans."""
         sides, cuts = self.sides, [0]
         cuts += [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in sides]
-        if len(cuts) == 1:
-            return self._stretch(word)
-        raw = b"".join([self._stretch(word[a:b]) for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)])
-        self._keep(word, raw)
-        return raw
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a normalised text."""
+        return b"".join([self._stretch(word[a:b]) for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)])
+
+    def _learn(self, words: list[str]) -> list[str]:
+        """Keeps the ids of short words; returns those that a matrix of agendas can't tell, as they hold characters without a piece."""
+        words.sort(key=len)
+        rest = []
+        for at in range(0, len(words), _MATRIX_ROWS):
+            some = words[at : at + _MATRIX_ROWS]
+            lengths = np.array([len(w) for w in some])
+            inside = np.arange(lengths[-1]) < lengths[:, None]
+            rows = np.full(inside.shape, -1, np.int32)
+            rows[inside] = self.pairs.symbol_of[np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)]
+            whole = (rows >= 0).sum(axis=1) == lengths
+            rows[~whole] = -1
+            rows = self.pairs.agendas(rows)
+            used = rows >= 0
+            ids = np.where(used, self.pairs.ids[rows], 0)
+            whole &= (ids >= 0).all(axis=1)
+            used[~whole] = False
+            raw = ids[used].tobytes()
+            ends = (4 * used.sum(axis=1).cumsum()).tolist()
+            start = 0
+            for word, ok, end in zip(some, whole.tolist(), ends, strict=True):
+                if ok:
+                    self._keep(word, raw[start:end])
+                else:
+                    rest.append(word)
+                start = end
+        return rest
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts."""
+        if self.kept > _MEMO_BYTES:
+            self.known.clear()
+            self.kept = 0
         known = self.known
-        words = _STRETCH.findall(text) if self.words_apart else [text]
-        ids = np.frombuffer(b"".join([known[w] if w in known else self._cut(w) for w in words]), np.int32)
-        if not self.bytes and len(ids):
-            unknown = ids < 0
-            again = np.concatenate([[False], unknown[1:] & unknown[:-1]])
-            ids = np.where(unknown, self.library.unk_id(), ids)[~again].astype(np.int32)
-        return ids
+        cut = [self.stretches.findall(t) if self.words_apart else [t] for t in texts]
+        new = set().union(*cut).difference(known)
+        short = [] if self.unused else [w for w in new if len(w) <= _KEPT_CHARS]
+        others = {w: self._cut(w) for w in [*self._learn(short), *([w for w in new if len(w) > _KEPT_CHARS] if not self.unused else new)] if w}
+        for w, raw in others.items():
+            if len(w) <= _KEPT_CHARS:
+                self._keep(w, raw)
+        out = []
+        for words in cut:
+            ids = np.frombuffer(b"".join([known[w] if w in known else others[w] for w in words if w]), np.int32)
+            if not self.bytes and len(ids):
+                unknown = ids < 0
+                again = np.concatenate([[False], unknown[1:] & unknown[:-1]])
+                ids = np.where(unknown, self.library.unk_id(), ids)[~again].astype(np.int32)
+            out.append(ids)
+        return out
 
     def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """(ids, decoded text) of each text, compared with the library's ids."""
-        own = [self.encode(t) for t in self.library.normalize(texts)]
+        own = self.encode(self.library.normalize(texts))
         theirs = self.library.encode(texts, num_threads=1, add_bos=False, add_eos=False, enable_sampling=False)
         for text, a, b in zip(texts, own, theirs, strict=True):
             if a.tolist() != b:

@@ -25,7 +25,15 @@ def test_random_texts(library):
     encoder = pieces.Encoder(MODEL)
     for size in [3] * 2000 + [30] * 2000 + [3000] * 3:
         text = "".join(rng.choice(ODD) for _ in range(size))
-        assert encoder.encode(library.normalize(text)).tolist() == library.encode(text)
+        assert encoder.encode([library.normalize(text)])[0].tolist() == library.encode(text)
+
+
+def test_agendas_in_a_matrix_are_those_one_by_one(library):
+    rng = random.Random(6)
+    encoder = pieces.Encoder(MODEL)
+    words = ["▁" * rng.randint(0, 3) + "".join(rng.choice("aehinorst▁.,é日①") for _ in range(rng.randint(1, 40))) for _ in range(5000)]
+    for word, ids in zip(words, encoder.encode(words), strict=True):
+        assert [encoder.library.id_to_piece(i) for i in ids.tolist() if not encoder.library.is_byte(i)] == [s for s in encoder.joined(word) if s in encoder.ids]
 
 
 def test_agenda_takes_the_best_score_first_and_the_leftmost_of_equal_ones():
@@ -42,20 +50,21 @@ def test_long_text_without_blanks_and_a_small_memo(library, monkeypatch):
     monkeypatch.setattr(pieces, "_MEMO_BYTES", 2000)
     encoder = pieces.Encoder(MODEL)
     for text in ["".join(rng.choice("aehinorst") for _ in range(200_000)), " ".join("".join(rng.choice("aehinorst") for _ in range(6)) for _ in range(300)), "▁" * 5000]:
-        assert encoder.encode(library.normalize(text)).tolist() == library.encode(text)
-        assert encoder.kept <= 2000
+        assert encoder.encode([library.normalize(text)])[0].tolist() == library.encode(text)
+    encoder.encode(["▁a"])
+    assert encoder.kept <= 2000
 
 
 def test_unknown_characters_without_byte_pieces():
     encoder = pieces.Encoder(MODEL)
     encoder.bytes = {}
     unknown = encoder.library.unk_id()
-    assert encoder.encode("▁a①②b①").tolist() == [*[encoder.ids["▁a"]], unknown, encoder.ids["b"], unknown]
+    assert encoder.encode(["▁a①②b①"])[0].tolist() == [*[encoder.ids["▁a"]], unknown, encoder.ids["b"], unknown]
 
 
 def test_a_difference_ends_the_job(spark):
     encoder = pieces.Encoder(MODEL)
-    encoder.ids["▁a"] = 5
+    encoder.pairs.ids[list(encoder.ranks).index("▁a")] = 5
     with pytest.raises(RuntimeError, match="differ"):
         encoder.checked(["a zq b"])
 
