@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docsentry.llm import decontaminate, minhash, mixing, quality_rules, token_files
 from docsentry.llm.common import table
 from docsentry.llm.queries import tokenizer
-from docsentry.session import cut_lineage
+from docsentry.session import drop_tables, inner_tables, write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The token files' report. A stage's inner tables go when its output is written, the output before it then, too."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with inner_tables(spark):
+            docs, path = write_table(stage(spark, docs, sf_dir))
+        drop_tables(spark, before)
+        before = [path]
+    with inner_tables(spark):
+        out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_tables(spark, before)
+    return out

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +43,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows once as a Parquet table in the shared folder and go on from there.
+#: For each scope that is open, the tables that go at its end.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
-    The table survives the loss of any executor, and later steps read only the columns they use.
-    """
+
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def inner_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut_lineage`` writes inside go at the end, but for those that outlive the scope: these go with the scope around it, if there is one.
+
+    A plan built inside may be run outside only if it reads no other inner tables than those that outlive the scope.
+    """
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        drop_tables(spark, own)
+
+
+def cut_lineage(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """Write the rows once as a Parquet table in the shared folder and go on from there.
+
+    The table survives the loss of any executor, and later steps read only the columns they use. ``outlives``: it stays when the scope ends.
+    """
+    table, path = write_table(df)
+    scopes = _SCOPES.get()[: -1 if outlives else None]
+    if scopes:
+        scopes[-1].append(path)
+    return table
