@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsentry.session import cut_lineage
+from docsentry.session import cut_lineage, inner_tables
 
 BANDS, ROWS, BITS = 32, 4, 4
 PERMUTATIONS = BANDS * ROWS
@@ -402,11 +402,12 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     row with the smallest text hash. Rows that share an id but not a component are judged apart, by their texts. Of rows equal in id
     and text one stays.
     """
-    rows, names = grouped_sets(docs, shingle_words, percent)
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     pair = ["doc_id", "text_key"]
-    gone = cut_lineage(rows.join(names, "fp").filter(~stays).select(*pair).distinct())
-    doubled = cut_lineage(rows.groupBy(*pair).count().filter("count > 1").select(*pair))
+    with inner_tables(docs.sparkSession):
+        rows, names = grouped_sets(docs, shingle_words, percent)
+        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+        gone = cut_lineage(rows.join(names, "fp").filter(~stays).select(*pair).distinct(), outlives=True)
+        doubled = cut_lineage(rows.groupBy(*pair).count().filter("count > 1").select(*pair), outlives=True)
 
     keyed = docs.withColumn("__text_key", text_key())
 

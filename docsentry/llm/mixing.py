@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsentry.llm.common import let
-from docsentry.session import cut_lineage
+from docsentry.session import cut_lineage, inner_tables
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -131,7 +131,9 @@ def mix(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
-    placed = cut_lineage(docs.withColumn("__place", F.monotonically_increasing_id()))  # written once, so a row keeps its number
-    copies = _chosen(placed, F.col("__place"), seed, **shares).filter("copies > 0").select(F.col("place").alias("__place"), F.col("copies").alias("__copies"))
+    with inner_tables(docs.sparkSession):
+        placed = cut_lineage(docs.withColumn("__place", F.monotonically_increasing_id()), outlives=True)  # written once, so a row keeps its number
+        copies = _chosen(placed, F.col("__place"), seed, **shares).filter("copies > 0").select(F.col("place").alias("__place"), F.col("copies").alias("__copies"))
+        copies = cut_lineage(copies, outlives=True)
     out = placed.join(copies, "__place")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

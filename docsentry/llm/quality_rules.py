@@ -20,11 +20,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docsentry.llm.common import id_check, let
-from docsentry.session import cut_lineage
+from docsentry.session import cut_lineage, inner_tables
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -164,35 +163,38 @@ def strain(shares: Column, sizes: dict[str, float]) -> Column:
     return F.greatest(*[shares[n] / F.lit(float(sizes[n])) for n in SHARES])
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: list[str], risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the stats struct, base_failed and kept.
-
-    Texts are read once: stats go to a table in the shared folder, labels and cutoffs are joined to that.
-    """
-    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-")) if "lang" in docs.columns else F.lit("-")
-    rows = cut_lineage(docs.select(*keep, F.struct(F.col("doc_id").alias("doc_id"), stratum.alias("stratum"), stats(F.col("text")).alias("counts")).alias(STATS)))
-    flat = rows.select(F.col(f"{STATS}.doc_id").alias("doc_id"), F.col(f"{STATS}.stratum").alias("stratum"), F.col(f"{STATS}.counts").alias(STATS))
+def _certified(docs: DataFrame, labels: DataFrame, risk: float, error: float) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(doc_id, stratum and counts of every document, written once; cutoff of each certified stratum; usual size of each share)."""
+    rows = cut_lineage(docs.select("doc_id", _stratum(docs).alias("stratum"), stats(F.col("text")).alias(STATS)))
     marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    cutoffs, sizes = fit(flat.join(marks, "doc_id"), risk, error)
-    cutoffs = cut_lineage(cutoffs.select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff")))
-    counts = F.col(f"{STATS}.counts")
-    score = strain(F.struct(*[c.alias(n) for n, c in _shares(counts).items()]), sizes)
-    failed = base_failed(counts)
-    refused = F.coalesce(F.floor(score * STEPS) / STEPS >= F.col("__cutoff"), F.lit(False))
-    out = rows.join(cutoffs, rows[f"{STATS}.stratum"] == cutoffs["__stratum"], "left")
-    return out.select(*keep, counts.alias(STATS), failed.alias("__base_failed"), (~failed & ~refused).alias("__kept"))
+    cutoffs, sizes = fit(rows.join(marks, "doc_id"), risk, error)
+    return rows, cut_lineage(cutoffs.select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff")), outlives=True), sizes
+
 
+def _stratum(docs: DataFrame) -> Column:
+    return F.coalesce(F.concat(F.lit("="), docs["lang"].cast("string")), F.lit("-")) if "lang" in docs.columns else F.lit("-")
 
-def report(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of every document."""
-    out = judged(docs, labels, ["doc_id"], **options)
-    return out.select("doc_id", *[F.col(f"{STATS}.{c}").alias(c) for c in COUNTS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+def _kept(counts: Column, sizes: dict[str, float]) -> Column:
+    """Neither the fixed rules nor the stratum's cutoff refuse a document of these counts."""
+    score = strain(F.struct(*[c.alias(n) for n, c in _shares(counts).items()]), sizes)
+    return ~base_failed(counts) & ~F.coalesce(F.floor(score * STEPS) / STEPS >= F.col("__cutoff"), F.lit(False))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged."""
-    return judged(docs, labels, docs.columns, **options).filter("__kept").select(*docs.columns)
+def report(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every document; texts are read once."""
+    rows, cutoffs, sizes = _certified(docs, labels, risk, error)
+    out = rows.join(cutoffs, rows["stratum"] == cutoffs["__stratum"], "left")
+    counts = F.col(STATS)
+    return out.select("doc_id", *[counts[c].alias(c) for c in COUNTS], base_failed(counts).alias("base_failed"), _kept(counts, sizes).alias("kept"))
 
 
-RESULT = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS],
-                       T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that are kept, columns unchanged.
+
+    Texts are counted a second time rather than written beside their counts: no table holds a text.
+    """
+    with inner_tables(docs.sparkSession):
+        _, cutoffs, sizes = _certified(docs, labels, risk, error)
+    out = docs.withColumn("__own", _stratum(docs)).join(cutoffs, F.col("__own") == F.col("__stratum"), "left")
+    return out.filter(let(stats(F.col("text")), lambda counts: _kept(counts, sizes))).select(*docs.columns)

@@ -169,7 +169,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shards:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = cut_lineage(rows.mapInArrow(run, MANIFEST))
+    manifest = cut_lineage(rows.mapInArrow(run, MANIFEST), outlives=True)
     before = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy("shard")) - F.col("tokens")
     return manifest.withColumn("base", before)
 
