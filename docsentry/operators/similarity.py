@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsentry.functions import scalar as sc
 from docsentry.functions import text as tx
+from docsentry.operators.history import time_chunk
+from docsentry.operators.ordered import prior_aggregates
 
 # What each agreement adds to the score.
 VISUAL, LAYOUT, TEXT, EMPLOYER, SALARY, SEAL = 0.42, 0.17, 0.29, 0.08, 0.04, 0.03
@@ -52,41 +56,122 @@ def layout_hashes(blocks: DataFrame) -> DataFrame:
     return blocks.filter(tx.strip(F.col("text")) != "").groupBy("doc_id").agg(F.sha2(F.array_join(lines, "|"), 256).alias("layout_hash"))
 
 
+#: Image distances up to this are found by bands of the image hash: of five bands one differs by at most one bit.
+BANDS, NEAR = 5, 9
+#: A token key is enough where texts must share at least this.
+_SHORT_PREFIX = 0.6
+
+
 def candidates(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (cur, old) of fingerprints, the earlier one as ``old``, that can reach the threshold; none that does is left out.
 
-    Employer, salary and seal add at most .15. So with different layouts image and text must bring the rest, with one layout
-    .17 less: each alone has a least value, as the other is at most 1. A least text similarity j means that of two token
-    sets, ordered by rarity, the first ``n - ceil(j n) + 1`` tokens meet; those are the join keys (with one layout: with the
-    layout). Sizes and image distance are tested in the join, so common tokens bring few rows.
+    What image and text must bring follows from the layout and employer that a pair shares or not, so each of these four cases has keys of its
+    own, with the shared values in them. In a case, texts must share a least part j: of two token sets, ordered by
+    rarity, the first ``n - ceil(j n) + 1`` tokens then meet. Where images may make up for texts, near images (distance up to ``NEAR``) meet in a
+    band of the image hash that differs by at most one bit, and only far ones, which need more of the text, by tokens. Pairs that meet
+    are bounded from above by their image, layout, employer, salary, seal, sizes and the places of the shared token before any token set moves.
     """
     rows = _prepared(prints)
     names = rows.columns
     tokens = rows.select("doc_id", F.explode("tokens").alias("tok"))
     ranked = tokens.join(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("_f")), "tok")
-    ranked = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_f", "tok"))).alias("_rank"))
-    slim = rows.select("doc_id", "t", "_bits", F.coalesce("layout_hash", F.lit("")).alias("layout"), F.size("tokens").alias("n")).join(ranked, "doc_id")
-    found = None
-    for same in (False, True):
-        rest = threshold - EMPLOYER - SALARY - SEAL - (LAYOUT if same else 0.0) - 5e-5  # scores are rounded to four places
-        least_text, least_visual = rest - VISUAL, rest - TEXT
-        if least_text <= 0:
-            raise ValueError(f"a threshold of {threshold} can be reached without any common token")
-        least_text, furthest = least_text / TEXT, min(64, int(64 * (1 - least_visual / VISUAL) + 1e-9))
-        head = F.slice("_rank", 1, (F.col("n") - F.ceil(F.col("n") * least_text - 1e-9) + 1).cast("int"))
-        keyed = slim.select("doc_id", "t", "_bits", "layout", "n", F.explode(head).alias("_k")).select("*", F.col("_k.tok").alias("tok"))
-        a, b = (keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "t", "_bits", "layout", "n", "tok")]) for side in "ab")
-        layouts = (F.col("a_layout") == F.col("b_layout")) if same else (F.col("a_layout") != F.col("b_layout")) | (F.col("a_layout") == "")
-        if same:
-            layouts = layouts & (F.col("a_layout") != "")
-        far = F.coalesce(F.bit_count(F.col("a__bits").bitwiseXOR(F.col("b__bits"))), F.lit(64))
-        later = (F.col("a_t") > F.col("b_t")) | ((F.col("a_t") == F.col("b_t")) & (F.col("a_doc_id") > F.col("b_doc_id")))
-        sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least_text - 1e-9
-        pairs = a.join(b, (F.col("a_tok") == F.col("b_tok")) & layouts & later & sizes & (far <= furthest)).select("a_doc_id", "b_doc_id")
-        found = pairs if found is None else found.unionAll(pairs)
+    ranked = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_f", "tok"))).alias("_r")).select("doc_id", F.col("_r.tok").alias("rank"))
+    marks = {"layout": F.col("layout_hash"), "employer": F.col("_employer_name"), "seal": F.col("seal_hash")}
+    slim = rows.select("doc_id", "t", F.col("_bits").alias("bits"), "salary", F.size("tokens").alias("n"), *[
+        F.when(c != "", F.xxhash64(c)).alias(k) for k, c in marks.items()]).join(ranked, "doc_id")
+    met = slim.select("doc_id", "t", "bits", "salary", "n", *marks, F.explode(F.concat(*_keys(threshold))).alias("e")).select("*", "e.*").drop("e")
+    fields = ["doc_id", "t", "bits", "salary", "n", *marks, "place"]
+    a, b = (side.select("k", *[F.col(c).alias(f"{name}_{c}") for c in fields]) for side, name in ((met, "a"), (met.filter("waits"), "b")))
+    later = (F.col("a_t") > F.col("b_t")) | ((F.col("a_t") == F.col("b_t")) & (F.col("a_doc_id") > F.col("b_doc_id")))
+    pairs = a.join(b, "k").filter(later & (_most() >= threshold - 5e-5 - 1e-9)).select("a_doc_id", "b_doc_id").distinct()
     body = F.struct(*names)
     cur, old = rows.select(F.col("doc_id").alias("a_doc_id"), body.alias("cur")), rows.select(F.col("doc_id").alias("b_doc_id"), body.alias("old"))
-    return found.distinct().join(cur, "a_doc_id").join(old, "b_doc_id").select("cur", "old")
+    return pairs.join(cur, "a_doc_id").join(old, "b_doc_id").select("cur", "old")
+
+
+def _keys(threshold: float) -> list[Column]:
+    """Arrays of (k, place, waits): keys of a fingerprint; keys that do not wait only look for others' keys."""
+    no_keys = F.array().cast("array<struct<k:bigint,place:int,waits:boolean>>")
+
+    def entry(k: Column, place: Column, waits: bool) -> Column:
+        return F.struct(k.alias("k"), place.cast("int").alias("place"), F.lit(waits).alias("waits"))
+
+    def of_tokens(case: str, shared: list[str], least: float) -> Column:
+        head = F.slice("rank", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))
+        return F.transform(head, lambda x, i: entry(F.xxhash64(F.lit(case), *shared, x), i, True))
+
+    def of_band(case: str, shared: list[str], start: int, n: int) -> list[Column]:
+        value = F.shiftrightunsigned("bits", start).bitwiseAND(F.lit((1 << n) - 1))
+
+        def key(x: Column) -> Column:
+            return F.xxhash64(F.lit(case), *shared, F.lit(start), x)
+
+        flips = F.array(*[F.lit(1 << bit).cast("bigint") for bit in range(n)])
+        return [F.array(entry(key(value), F.lit(-1), True)), F.transform(flips, lambda f: entry(key(value.bitwiseXOR(f)), F.lit(-1), False))]
+
+    def of_bands(case: str, shared: list[str]) -> list[Column]:
+        width = -(-64 // BANDS)
+        return [x for start in range(0, 64, width) for x in of_band(case, shared, start, min(width, 64 - start))]
+
+    found = []
+    for layout in (False, True):
+        bands = False
+        for employer in (False, True):
+            rest = threshold - 5e-5 - SALARY - SEAL - (EMPLOYER if employer else 0.0) - (LAYOUT if layout else 0.0)  # scores are rounded to four places
+            if rest > VISUAL + TEXT:
+                continue
+            shared = ["layout"] * layout + ["employer"] * employer
+            least = (rest - VISUAL) / TEXT
+            if least < _SHORT_PREFIX:
+                bands = True
+                least = (rest - VISUAL * (1 - (NEAR + 1) / 64)) / TEXT
+            if least <= 0:
+                raise ValueError(f"a threshold of {threshold} can be reached without any common token")
+            if least <= 1:
+                ready = [F.col(c).isNotNull() for c in shared]
+                case = of_tokens(f"{layout} {employer}", shared, least)
+                found.append(F.when(reduce(lambda x, y: x & y, ready), case).otherwise(no_keys) if ready else case)
+        if bands:
+            ready = F.col("bits").isNotNull() & (F.col("layout").isNotNull() if layout else F.lit(True))
+            found.append(F.when(ready, F.concat(*of_bands(f"{layout} near", ["layout"] * layout))).otherwise(no_keys))
+    return found
+
+
+def _most() -> Column:
+    """The score that a pair that met (a, b) can reach at most: nothing but the shared tokens is open, and the place of one bounds their number."""
+    image = F.coalesce(VISUAL * (1 - F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) / 64.0), F.lit(0.0))
+    flags = [(F.col("a_layout") == F.col("b_layout"), LAYOUT), (F.col("a_employer") == F.col("b_employer"), EMPLOYER),
+             (F.col("a_seal") == F.col("b_seal"), SEAL), (F.abs(F.col("a_salary") - F.col("b_salary")) < 1.0, SALARY)]
+    bonus = reduce(lambda x, y: x + y, [F.when(flag, weight).otherwise(0.0) for flag, weight in flags])
+    by_place = F.least("a_place", "b_place") + 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
+    common = F.when((F.col("a_place") >= 0) & (F.col("b_place") >= 0), by_place).otherwise(F.least("a_n", "b_n"))
+    every = F.col("a_n") + F.col("b_n") - common
+    return image + bonus + TEXT * F.when(every > 0, common / every).otherwise(0.0)
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """The fingerprints with class_id, the earliest document of those that no comparison tells apart, and the number of copies in the class."""
+    rows = _prepared(prints)
+    told = ["_bits", "layout_hash", "salary", "seal_hash", "_employer_name", "_employee_name", "document_hash"]
+    text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in told], F.array_join("tokens", " "))
+    keyed = rows.withColumn("_class", F.sha2(text, 256))
+    heads = keyed.groupBy("_class").agg(F.min(F.struct("t", "doc_id")).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    heads = heads.select("_class", F.col("_first.doc_id").alias("class_id"), "copies")
+    return keyed.join(heads, "_class").select(*prints.columns, "class_id", "copies")
+
+
+def class_pairs(classed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Scored pairs of class representatives that reach the threshold; copies are not paired, ``classes`` tells where they belong."""
+    heads = classed.filter(F.col("doc_id") == F.col("class_id"))
+    copies = heads.select("doc_id", "copies")
+    scored = similar(heads.drop("class_id", "copies"), threshold)
+    return scored.join(copies, "doc_id").join(copies.select(F.col("doc_id").alias("other_doc_id"), F.col("copies").alias("other_copies")), "other_doc_id")
+
+
+def links(classed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per document: its class, the copies in it, and the number of classes that class is linked with."""
+    ends = pairs.select(F.col("doc_id").alias("class_id")).unionAll(pairs.select("other_doc_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return classed.select("doc_id", "class_id", "copies").join(ends, "class_id", "left").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _prepared(prints: DataFrame) -> DataFrame:
@@ -147,14 +232,33 @@ def topk(scored: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_signal(scored: DataFrame, prints: DataFrame) -> DataFrame:
-    """Per document: duplicate (content seen before, or score >= .99), best score in [.85, .99), and the two signal values."""
+def similar_signal(classed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per document: duplicate (content seen before, or score >= .99), best score in [.85, .99), and the two signal values.
+
+    Only documents before it count. A pair of classes is an event in both, at the time of the other's first document, and the
+    first document of a class with copies is one for these. Each document sees the running maxima of the events before it.
+    """
+    names = ["class_id", "t", "doc_id", "same", "near", "at_event"]
+    firsts = classed.filter(F.col("doc_id") == F.col("class_id")).select("doc_id", "t")
     near = F.when((F.col("score") >= 0.85) & (F.col("score") < 0.99), F.col("score"))
-    rolled = scored.groupBy("doc_id").agg(F.bool_or(F.col("score") >= 0.99).alias("_same"), F.max(near).alias("top_similar"))
-    first = prints.groupBy("document_hash").agg(F.min(F.struct("t", "doc_id")).alias("_first"))
-    seen = prints.select("doc_id", "t", "document_hash").join(first, "document_hash").filter(F.struct("t", "doc_id") > F.col("_first"))
-    rolled = rolled.join(seen.select("doc_id", F.lit(True).alias("_seen")), "doc_id", "full")
-    rolled = rolled.select("doc_id", (F.coalesce("_same", F.lit(False)) | F.coalesce("_seen", F.lit(False))).alias("is_duplicate"), "top_similar")
+    same = (F.col("score") >= 0.99).cast("int")
+    timed = pairs.select("doc_id", "other_doc_id", same.alias("same"), near.alias("near"))
+    older = timed.join(firsts.select(F.col("doc_id").alias("other_doc_id"), "t"), "other_doc_id").select(
+        F.col("doc_id").alias("class_id"), "t", F.col("other_doc_id").alias("doc_id"), "same", "near", F.lit(True).alias("at_event"))
+    newer = timed.join(firsts.select("doc_id", "t"), "doc_id").select(F.col("other_doc_id").alias("class_id"), "t", "doc_id", "same", "near", F.lit(True).alias("at_event"))
+    heads = _prepared(classed.filter((F.col("doc_id") == F.col("class_id")) & (F.col("copies") > 1)))
+    whole = F.struct(*heads.columns)
+    own = compare(heads.select(whole.alias("cur"), whole.alias("old"))).join(firsts, "doc_id").select(
+        F.col("doc_id").alias("class_id"), "t", "doc_id", same.alias("same"), near.alias("near"), F.lit(True).alias("at_event"), "score")
+    own = own.filter(F.col("score") >= THRESHOLD)
+    none = [F.lit(None).cast("int").alias("same"), F.lit(None).cast("double").alias("near"), F.lit(False).alias("at_event")]
+    asked = classed.select("class_id", "t", "doc_id", *none).select(*names)
+    run = prior_aggregates(older.unionAll(newer).unionAll(own.drop("score")).select(*names).unionAll(asked), ["class_id"], ["t", "doc_id", "at_event"], time_chunk("t", "doc_id"),
+                           {"met": ("max", F.col("at_event").cast("int")), "before_same": ("max", F.col("same")), "top_similar": ("max", F.col("near"))})
+    run = run.filter("not at_event").select("doc_id", (F.coalesce("met", F.lit(0)) > 0).alias("_met"), (F.coalesce("before_same", F.lit(0)) > 0).alias("_same"), "top_similar")
+    content = classed.groupBy("document_hash").agg(F.min(F.struct("t", "doc_id")).alias("_first"))
+    seen = classed.select("doc_id", "t", "document_hash").join(content, "document_hash").select("doc_id", (F.struct("t", "doc_id") > F.col("_first")).alias("_seen"))
+    rolled = run.join(seen, "doc_id").filter("_met or _seen").select("doc_id", (F.col("_same") | F.col("_seen")).alias("is_duplicate"), "top_similar")
     value = F.least(F.lit(0.35), F.greatest(F.lit(0.20), F.col("top_similar") * 0.35))
     return rolled.withColumns({
         "duplicate_value": F.when(F.col("is_duplicate"), 0.35),

@@ -85,10 +85,13 @@ EXTRA_VIEWS["ifsc_cases"] = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'HDFC1'
   CASE WHEN r.ifsc IS NOT NULL THEN r.bank WHEN NOT regexp_matches(c.ifsc, '^[A-Z]{4}0[A-Z0-9]{6}$') THEN NULL
     WHEN c.ifsc LIKE 'HDFC%' THEN 'HDFC BANK' WHEN c.ifsc LIKE 'CNRB%' THEN 'CANARA BANK' ELSE 'MOCK BANK' END AS bank, branch FROM ifsc_cases c LEFT JOIN ifsc_registry r ON c.ifsc = r.ifsc""")
 def registry_verify_ifsc(v: Inputs) -> DataFrame:
+    return registry.verify_ifsc(ifsc_cases(v), v.ifsc_registry).select("doc_id", "ifsc", "outcome", "bank", "branch")
+
+
+def ifsc_cases(v: Inputs) -> DataFrame:
     d = F.col("doc_id") % 6
     head = F.when(d == 0, "HDFC1").when(d == 1, "CNRB0").when(d == 2, "ABCD0").otherwise("HDFC0")
-    rows = v.cases.select("doc_id", F.concat(head, F.lpad(F.col("cust").cast("string"), 6, "0")).alias("ifsc"))
-    return registry.verify_ifsc(rows, v.ifsc_registry).select("doc_id", "ifsc", "outcome", "bank", "branch")
+    return v.cases.select("doc_id", F.concat(head, F.lpad(F.col("cust").cast("string"), 6, "0")).alias("ifsc"))
 
 
 EXTRA_VIEWS["company_names"] = "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'Bank Ltd' WHEN doc_id % 5 = 0 THEN employer_name || ' & Sons Limited' ELSE employer_name END AS company_name FROM cases"
@@ -100,10 +103,14 @@ EXTRA_VIEWS["name_keys"] = f"SELECT company_name, {company_sql('company_name')}
 FROM company_names n JOIN name_keys k ON n.company_name = k.company_name LEFT JOIN (SELECT nk, arg_min(name, ord) AS name, arg_min(cin, ord) AS cin FROM name_keys JOIN company_keys
   ON nk <> '' AND (contains(nk, rk) OR contains(rk, nk)) GROUP BY nk) m ON m.nk = k.nk""")
 def registry_verify_company(v: Inputs) -> DataFrame:
+    out = registry.verify_company(company_cases(v), v.company_registry)
+    return out.select("doc_id", "name_key", "outcome", "registered_name", "cin")
+
+
+def company_cases(v: Inputs) -> DataFrame:
     d = F.col("doc_id")
     name = F.when(d % 13 == 0, "Bank Ltd").when(d % 5 == 0, F.concat("employer_name", F.lit(" & Sons Limited"))).otherwise(F.col("employer_name"))
-    out = registry.verify_company(v.cases.select("doc_id", name.alias("company_name")), v.company_registry)
-    return out.select("doc_id", "name_key", "outcome", "registered_name", "cin")
+    return v.cases.select("doc_id", name.alias("company_name"))
 
 
 def _gst_cases(v: Inputs) -> DataFrame:
@@ -152,9 +159,12 @@ def registry_verify_cin(v: Inputs) -> DataFrame:
   WHEN beneficiary = employee_name THEN 'VALID' ELSE 'MISMATCH' END AS outcome
 FROM (SELECT doc_id, employee_name, CASE WHEN doc_id % 6 = 0 THEN '12345' ELSE '7' || lpad(CAST(cust AS VARCHAR), 11, '0') END AS account FROM cases) c LEFT JOIN account_registry USING (account)""")
 def registry_verify_account(v: Inputs) -> DataFrame:
+    return registry.verify_account(account_cases(v), v.account_registry).select("doc_id", "account", "beneficiary", "outcome")
+
+
+def account_cases(v: Inputs) -> DataFrame:
     account = F.when(F.col("doc_id") % 6 == 0, "12345").otherwise(F.concat(F.lit("7"), F.lpad(F.col("cust").cast("string"), 11, "0")))
-    out = registry.verify_account(v.cases.select("doc_id", "employee_name", account.alias("account")), v.account_registry)
-    return out.select("doc_id", "account", "beneficiary", "outcome")
+    return v.cases.select("doc_id", "employee_name", account.alias("account"))
 
 
 _CHECK_ROWS = ", ".join(f"('{k}', '{c}')" for k, cs in fixed.APPLICABLE_CHECKS.items() for c in cs)
@@ -365,47 +375,59 @@ def layout_hash(v: Inputs) -> DataFrame:
     return similarity.layout_hashes(blocks)
 
 
+# Documents that no comparison tells apart are one class, named by the earliest of them; only those are paired.
+EXTRA_VIEWS["print_classes"] = """SELECT p.doc_id, c.class_id, c.copies FROM print_rows p JOIN (SELECT arg_min(doc_id, t) AS class_id, count(*) AS copies,
+  content_hash, bits, layout_hash, seal_hash, employee_name, employer_name, salary, tokens FROM print_rows GROUP BY ALL) c
+  ON p.content_hash = c.content_hash AND p.bits = c.bits AND p.layout_hash = c.layout_hash AND p.seal_hash = c.seal_hash AND p.employee_name = c.employee_name
+  AND p.employer_name = c.employer_name AND p.salary = c.salary AND p.tokens = c.tokens"""
+EXTRA_VIEWS["print_heads"] = "SELECT p.*, c.copies FROM print_rows p JOIN print_classes c ON c.doc_id = p.doc_id AND c.class_id = p.doc_id"
 # What every pair has without its texts; pairs that even equal texts would leave under the threshold are not scored.
-EXTRA_VIEWS["bare_pairs"] = """SELECT a.doc_id, b.doc_id AS other_doc_id, bit_count(xor(CAST(a.bits AS BIT), CAST(b.bits AS BIT))) AS distance,
+_PAIR = """SELECT a.doc_id, b.doc_id AS other_doc_id, bit_count(xor(CAST(a.bits AS BIT), CAST(b.bits AS BIT))) AS distance,
   a.layout_hash = b.layout_hash AS same_layout, a.seal_hash = b.seal_hash AS same_seal, a.employer_name = b.employer_name AS same_employer, abs(a.salary - b.salary) < 1 AS same_salary,
-  a.employee_name <> b.employee_name AS different_employee, a.content_hash = b.content_hash AS same_content, a.tokens AS x, b.tokens AS y
-FROM print_rows a JOIN print_rows b ON a.t > b.t OR (a.t = b.t AND a.doc_id > b.doc_id)"""
-EXTRA_VIEWS["pair_scores"] = """SELECT *, (1.0 - distance / 64.0) * 0.42 + CASE WHEN same_layout THEN 0.17 ELSE 0 END + CASE WHEN same_employer THEN 0.08 ELSE 0 END
-  + CASE WHEN same_salary THEN 0.04 ELSE 0 END + CASE WHEN same_seal THEN 0.03 ELSE 0 END AS bare FROM bare_pairs"""
-EXTRA_VIEWS["scored_pairs"] = """SELECT * FROM (SELECT *, CAST(round(CAST(round(least(1.0, bare + 0.29 * CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END), 9) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score
-FROM pair_scores WHERE bare + 0.29 >= 0.799) p WHERE score >= 0.8"""
+  a.employee_name <> b.employee_name AS different_employee, a.content_hash = b.content_hash AS same_content, a.tokens AS x, b.tokens AS y{more}
+FROM {rows} a JOIN {rows} b ON a.t > b.t OR (a.t = b.t AND a.doc_id > b.doc_id)"""
+EXTRA_VIEWS["bare_pairs"] = _PAIR.format(rows="print_rows", more="")
+EXTRA_VIEWS["head_pairs"] = _PAIR.format(rows="print_heads", more=", a.copies AS copies, b.copies AS other_copies")
+_SCORED = """SELECT * FROM (SELECT *, CAST(round(CAST(round(least(1.0, bare + 0.29 * CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END), 9) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score
+FROM (SELECT *, (1.0 - distance / 64.0) * 0.42 + CASE WHEN same_layout THEN 0.17 ELSE 0 END + CASE WHEN same_employer THEN 0.08 ELSE 0 END
+  + CASE WHEN same_salary THEN 0.04 ELSE 0 END + CASE WHEN same_seal THEN 0.03 ELSE 0 END AS bare FROM {pairs}) s WHERE bare + 0.29 >= 0.799) p WHERE score >= 0.8"""
+EXTRA_VIEWS["scored_pairs"] = _SCORED.format(pairs="bare_pairs")
+EXTRA_VIEWS["scored_heads"] = _SCORED.format(pairs="head_pairs")
 
 
-def _scored(v: Inputs) -> DataFrame:
-    return similarity.similar(_prints(v))
+def _classed(v: Inputs) -> DataFrame:
+    return cut_lineage(similarity.classes(similarity.fingerprints(v.prints)))
 
 
-@query("SELECT doc_id, other_doc_id FROM scored_pairs")
+@query("""SELECT c.doc_id, c.class_id, c.copies, coalesce(l.links, 0) AS links FROM print_classes c LEFT JOIN (SELECT class_id, count(*) AS links FROM (
+  SELECT doc_id AS class_id FROM scored_heads UNION ALL SELECT other_doc_id FROM scored_heads) e GROUP BY class_id) l ON l.class_id = c.class_id""")
 def similarity_candidates(v: Inputs) -> DataFrame:
-    return _scored(v).select("doc_id", "other_doc_id")
+    classed = _classed(v)
+    return similarity.links(classed, similarity.class_pairs(classed))
 
 
-@query("SELECT doc_id, other_doc_id, CAST(distance AS INT) AS distance, same_layout, same_employer, same_salary, same_seal, different_employee, same_content, score FROM scored_pairs")
+@query("""SELECT doc_id, other_doc_id, CAST(distance AS INT) AS distance, same_layout, same_employer, same_salary, same_seal, different_employee, same_content, score,
+  copies, other_copies FROM scored_heads""")
 def fingerprint_similarity(v: Inputs) -> DataFrame:
-    return _scored(v).drop("visual_similarity", "text_similarity")
+    return similarity.class_pairs(_classed(v)).drop("visual_similarity", "text_similarity")
 
 
-@query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_pairs WHERE different_employee) m WHERE rn <= 10")
+@query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_heads WHERE different_employee) m WHERE rn <= 10")
 def similarity_matches(v: Inputs) -> DataFrame:
-    return similarity.matches(_scored(v)).select("doc_id", "other_doc_id", "score", "rank")
+    return similarity.matches(similarity.class_pairs(_classed(v))).select("doc_id", "other_doc_id", "score", "rank")
 
 
-@query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_pairs) m WHERE rn <= 10")
+@query("SELECT doc_id, other_doc_id, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_doc_id) AS rn FROM scored_heads) m WHERE rn <= 10")
 def similarity_topk(v: Inputs) -> DataFrame:
-    return similarity.topk(_scored(v)).select("doc_id", "other_doc_id", "score", "rank")
+    return similarity.topk(similarity.class_pairs(_classed(v))).select("doc_id", "other_doc_id", "score", "rank")
 
 
 @query("""SELECT doc_id, d AS is_duplicate, m AS top_similar, CASE WHEN d THEN CAST(0.35 AS DOUBLE) END AS duplicate_value, CASE WHEN NOT d AND m IS NOT NULL THEN round(least(0.35, greatest(0.2, m * 0.35)), 6) END AS similar_value
 FROM (SELECT doc_id, bool_or(same OR s >= 0.99) AS d, max(CASE WHEN s >= 0.85 AND s < 0.99 THEN s END) AS m FROM (SELECT doc_id, false AS same, score AS s FROM scored_pairs
   UNION ALL SELECT DISTINCT doc_id, true, 0.0 FROM bare_pairs WHERE same_content) x GROUP BY doc_id) g""")
 def similar_document_signal(v: Inputs) -> DataFrame:
-    prints = _prints(v)
-    return similarity.similar_signal(similarity.similar(prints), prints).withColumn("similar_value", F.round("similar_value", 6))
+    classed = _classed(v)
+    return similarity.similar_signal(classed, cut_lineage(similarity.class_pairs(classed))).withColumn("similar_value", F.round("similar_value", 6))
 
 
 @query("""SELECT a.vec_id AS doc_id, CAST(bit_count(xor(CAST(a.bits AS BIT), CAST(r.bits AS BIT))) AS INT) AS distance,

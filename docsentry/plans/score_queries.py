@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docsentry import fixed
 from docsentry.operators import graph, ledger, registry, reports, score
-from docsentry.plans import scoring
+from docsentry.plans import case_queries as cq
+from docsentry.plans import features, scoring
 from docsentry.plans import text_queries as tq
 from docsentry.session import cut_lineage
 from docsentry.sources.bindings import Inputs
@@ -28,33 +29,103 @@ def query(sql: str | None = None):
 
 # ---------------------------------------------------------------- signals and scores
 
-# One row per case with the inputs of the rules that these tables can feed.
-EXTRA_VIEWS["rule_rows"] = """SELECT c.doc_id, c.document_type, c.salary, c.loan_amount, c.job_title, p.n, p.mean, p.std,
-  CASE WHEN p.n >= 3 THEN (c.salary - mean) / CASE WHEN std < 1000 THEN greatest(mean * 0.1, 5000) ELSE std END END AS z,
-  x.submission_ms, x.keystroke_ms, x.ip, d.n AS day_n, m.doc_id IS NOT NULL AS moved, dd.is_dup, c.doc_id % 97 = 0 AS broken, tpl.ts AS template_score
-FROM cases c JOIN prior_stats p ON p.doc_id = c.doc_id LEFT JOIN telemetry x ON x.doc_id = c.doc_id LEFT JOIN day_counts d ON d.doc_id = c.doc_id
-LEFT JOIN (SELECT DISTINCT doc_id FROM moves WHERE km > 100 AND km / hours > 1000) m ON m.doc_id = c.doc_id
-LEFT JOIN (SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY content_hash) AS is_dup FROM docs) dd ON dd.doc_id = c.doc_id
-LEFT JOIN doc_templates tpl ON tpl.doc_id = c.doc_id"""
+# One row per case with the inputs of all rules; what a rule reads comes from the check SQL of its own query.
 EXTRA_VIEWS["doc_templates"] = f"""SELECT doc_id, round(least((len(l) - len(list_distinct(l))) / len(l) + {tq.count_sql('text', '{{')} * 0.15, 1.0), 3) AS ts
 FROM (SELECT doc_id, text, list_transform({tq.lines_sql('text')}, lambda x: lower(x)) AS l FROM documents) d"""
+_FROM_CHECKS = {
+    "checked_coverage": tq.CHECKS["parse_coverage"], "checked_form": tq.CHECKS["form_vs_document_mismatch"], "checked_semantic": tq.CHECKS["semantic_coherence"],
+    "checked_scan": tq.CHECKS["scan_mode"], "checked_layers": tq.CHECKS["text_layer_divergence"], "checked_anomaly": cq.CHECKS["structural_anomaly"],
+    "checked_seal": cq.CHECKS["image_hash_hamming"], "checked_font": cq.CHECKS["font_audit"], "checked_object": cq.CHECKS["object_audit"], "checked_ela": cq.CHECKS["ela_score"],
+    "checked_ifsc": cq.CHECKS["registry_verify_ifsc"], "checked_account": cq.CHECKS["registry_verify_account"], "checked_company": cq.CHECKS["registry_verify_company"],
+    "checked_gst": cq.CHECKS["registry_verify_gst_lookup"], "checked_similar": cq.CHECKS["similar_document_signal"], "checked_cluster": cq.CHECKS["repeat_pattern"],
+}
+EXTRA_VIEWS |= _FROM_CHECKS
+EXTRA_VIEWS["rule_rows"] = f"""SELECT c.doc_id, c.document_type AS kind, c.salary, c.loan_amount, c.job_title, p.n, p.mean, p.std,
+  CASE WHEN p.n >= 3 THEN (c.salary - mean) / CASE WHEN std < 1000 THEN greatest(mean * 0.1, 5000) ELSE std END END AS z,
+  x.submission_ms, x.keystroke_ms, x.ip, d.n AS day_n, m.v AS velocity, c.doc_id % 97 = 0 AS broken, tpl.ts AS template_score,
+  length(s.text) AS text_chars, cov.parse_coverage AS cover, CASE WHEN c.document_type IN ('PAYSLIP', 'INCOME_TAX_FORM', 'UTILITY_BILL') THEN c.doc_id % 7 <> 0 END AS math_ok,
+  fm.form_pdf_mismatch AS form_bad, sem.semantic_score, sem.semantic_incoherent, coalesce(sm.scan_mode IN ('SCANNED', 'IMAGE'), false) AS scanned, sm.scan_mode,
+  lay.divergence_triggered, lay.divergence_score, lay.hidden_triggered, lay.hidden_score, an.anomaly_score, seal.seal_mismatch, seal.normalized AS seal_far,
+  fo.font_score, fo.font_triggered, ob.object_score, ob.object_triggered, el.ela_score, el.ela_triggered, ifs.outcome AS ifsc_outcome, acc.outcome AS account_outcome,
+  com.outcome AS company_outcome, gst.lookup AS gst_lookup, gst.legal_name = f.company_name AS gst_named, gst.registry_pan AS gst_pan, c.pan_number AS form_pan,
+  f.pan_number IS NOT NULL AS pan_given, coalesce(pr.registered_name = f.employee_name, false) AS pan_ok,
+  f.doc_id % 9 = 0 AS cin_odd, coalesce(cr.name = f.company_name, false) AS cin_named, date_diff('day', CAST(c.created_at AS DATE), DATE '{tq.TODAY}') AS age_days,
+  f.employee_name <> c.employee_name AS other_consumer, sim.is_duplicate, sim.top_similar, re.top_match, clu.cluster_score, lag.creation_delta
+FROM cases c JOIN prior_stats p ON p.doc_id = c.doc_id JOIN slips s ON s.doc_id = c.doc_id JOIN fields_wide f ON f.doc_id = c.doc_id
+LEFT JOIN telemetry x ON x.doc_id = c.doc_id LEFT JOIN day_counts d ON d.doc_id = c.doc_id
+LEFT JOIN (SELECT doc_id, arg_max(km / hours, pt) AS v FROM moves WHERE km > 100 AND km / hours > 1000 GROUP BY doc_id) m ON m.doc_id = c.doc_id
+LEFT JOIN doc_templates tpl ON tpl.doc_id = c.doc_id LEFT JOIN checked_coverage cov ON cov.doc_id = c.doc_id LEFT JOIN checked_form fm ON fm.doc_id = c.doc_id
+LEFT JOIN checked_semantic sem ON sem.doc_id = c.doc_id LEFT JOIN checked_scan sm ON sm.doc_id = c.doc_id LEFT JOIN checked_layers lay ON lay.doc_id = c.doc_id
+LEFT JOIN checked_anomaly an ON an.doc_id = c.doc_id LEFT JOIN checked_seal seal ON seal.doc_id = c.doc_id LEFT JOIN checked_font fo ON fo.doc_id = c.doc_id
+LEFT JOIN checked_object ob ON ob.doc_id = c.doc_id LEFT JOIN checked_ela el ON el.doc_id = c.doc_id LEFT JOIN checked_ifsc ifs ON ifs.doc_id = c.doc_id
+LEFT JOIN checked_account acc ON acc.doc_id = c.doc_id LEFT JOIN checked_company com ON com.doc_id = c.doc_id LEFT JOIN checked_gst gst ON gst.doc_id = c.doc_id
+LEFT JOIN pan_registry pr ON pr.pan = f.pan_number LEFT JOIN cin_registry cr ON cr.cin = f.cin
+LEFT JOIN checked_similar sim ON sim.doc_id = c.doc_id LEFT JOIN checked_cluster clu ON clu.doc_id = c.doc_id
+LEFT JOIN (SELECT pc.doc_id, max(score) AS top_match FROM print_classes pc JOIN scored_heads sh ON sh.doc_id = pc.class_id WHERE different_employee GROUP BY pc.doc_id) re ON re.doc_id = c.doc_id
+LEFT JOIN (SELECT l_orderkey, max(abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)))) AS creation_delta FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey) lag
+  ON lag.l_orderkey = c.doc_id"""
 _ANY_BAND = " OR ".join(f"(contains(lower(job_title), '{t}') AND NOT salary BETWEEN {lo} AND {hi})" for t, lo, hi in fixed.SALARY_BANDS)
+
+
+def _kind(*names: str) -> str:
+    return f"kind IN ({', '.join(repr(n) for n in names)})"
+
+
+_SLIP, _TAX, _GST, _COMPANY, _BILL = (_kind(n) for n in ("PAYSLIP", "INCOME_TAX_FORM", "GST_REGISTRATION", "COMPANY_REGISTRATION", "UTILITY_BILL"))
+_BAD_PAN = f"{_kind('PAYSLIP', 'INCOME_TAX_FORM')} AND pan_given AND NOT pan_ok"
+_BAD_COMPANY = f"({_kind('PAYSLIP', 'INCOME_TAX_FORM')} AND company_outcome <> 'VALID') OR ({_GST} AND (gst_lookup = 'COMPANY_NOT_FOUND' OR (gst_lookup = 'LISTED' AND NOT gst_named))) OR ({_COMPANY} AND NOT cin_odd AND NOT cin_named)"
+
+
+def _within(low: float, value: str, high: float) -> str:
+    return f"least({high}, greatest({low}, {value}))"
+
+
 _SIGNALS = [
     ("hash_chain_integrity", "CASE WHEN broken THEN 1.0 END"),
+    ("metadata_backdating", "CASE WHEN creation_delta > 30 THEN 0.21 END"),
     ("template_generation", "CASE WHEN template_score >= 0.30 THEN least(0.16, 0.10 + template_score * 0.15) END"),
     ("income_mismatch", "CASE WHEN loan_amount <> 0 AND loan_amount / greatest(salary, 1) > 80 THEN 0.24 END"),
     ("salary_outlier_z_score", "CASE WHEN z > 2.5 THEN least(0.35, (z - 2.5) * 0.10 + 0.15) WHEN z < -2.5 THEN 0.15 END"),
+    ("ml_structural_anomaly", "CASE WHEN anomaly_score > 0 THEN anomaly_score * 0.25 END"),
+    ("ocr_arithmetic_mismatch", "CASE WHEN NOT math_ok THEN 0.30 END"),
+    ("seal_mismatch", f"CASE WHEN seal_mismatch THEN {_within(0.10, 'seal_far', 0.22)} END"),
+    ("llm_semantic_coherence", "CASE WHEN semantic_incoherent AND (scan_mode = 'DIGITAL' OR text_chars > 100) THEN least(0.22, semantic_score * 0.30) END"),
+    ("parse_coverage_low", "CASE WHEN cover < 0.5 THEN CASE WHEN text_chars < 30 THEN CASE WHEN NOT scanned THEN 0.15 END WHEN cover < 0.25 THEN 0.15 ELSE 0.10 END END"),
     ("job_salary_anomaly", f"CASE WHEN {_ANY_BAND} THEN 0.25 END"),
-    ("duplicate_document", "CASE WHEN is_dup THEN 0.35 END"),
+    ("form_pdf_mismatch", "CASE WHEN form_bad > 0 THEN least(0.30, form_bad * 0.30) END"),
+    ("company_not_found", f"CASE WHEN {_BAD_COMPANY} THEN 0.20 END"),
+    ("pan_name_mismatch", f"CASE WHEN {_BAD_PAN} THEN 0.35 END"),
+    ("ifsc_invalid", f"CASE WHEN {_SLIP} AND ifsc_outcome = 'FORMAT' THEN 0.30 END"),
+    ("bank_account_mismatch", f"CASE WHEN {_SLIP} AND account_outcome <> 'VALID' THEN 0.35 END"),
+    ("tax_math_mismatch", f"CASE WHEN {_TAX} AND NOT math_ok THEN 0.30 END"),
+    ("gstin_format_invalid", f"CASE WHEN {_GST} AND gst_lookup = 'GSTIN_FORMAT_INVALID' THEN 0.35 END"),
+    ("gst_state_code_invalid", f"CASE WHEN {_GST} AND gst_lookup = 'GST_STATE_CODE_INVALID' THEN 0.30 END"),
+    ("gstin_pan_mismatch", f"CASE WHEN {_GST} AND gst_lookup = 'LISTED' AND gst_named AND upper(trim(gst_pan)) <> upper(trim(form_pan)) THEN 0.30 END"),
+    ("cin_format_invalid", f"CASE WHEN {_COMPANY} AND cin_odd THEN 0.35 END"),
+    ("bill_stale", f"CASE WHEN {_BILL} AND age_days > {fixed.BILL_MAX_AGE_DAYS} THEN 0.25 END"),
+    ("bill_consumer_mismatch", f"CASE WHEN {_BILL} AND other_consumer THEN 0.30 END"),
+    ("bill_math_mismatch", f"CASE WHEN {_BILL} AND NOT math_ok THEN 0.25 END"),
+    ("ela_tampering", f"CASE WHEN ela_triggered THEN {_within(0.12, 'ela_score', 0.30)} END"),
+    ("pdf_font_mismatch", f"CASE WHEN font_triggered AND NOT scanned THEN {_within(0.12, 'font_score', 0.25)} END"),
+    ("pdf_object_anomaly", f"CASE WHEN object_triggered THEN {_within(0.12, 'object_score', 0.25)} END"),
+    ("hidden_text_layer", f"CASE WHEN hidden_triggered AND NOT scanned THEN {_within(0.20, 'hidden_score', 0.35)} END"),
+    ("raw_ocr_divergence", f"CASE WHEN divergence_triggered AND NOT scanned THEN {_within(0.12, 'divergence_score', 0.35)} END"),
+    ("duplicate_document", "CASE WHEN is_duplicate THEN 0.35 END"),
+    ("similar_document_found", f"CASE WHEN NOT coalesce(is_duplicate, false) AND top_similar >= 0.85 THEN {_within(0.20, 'top_similar * 0.35', 0.35)} END"),
+    ("cross_document_reuse", f"CASE WHEN top_match IS NOT NULL THEN {_within(0.20, 'top_match * 0.35', 0.35)} END"),
     ("behavioral_device_clone", "CASE WHEN day_n > 3 THEN least(0.30, 0.10 + (day_n - 3) * 0.05) END"),
     ("behavioral_scripted_submission", "nullif(CASE WHEN submission_ms > 0 AND submission_ms < 1500 THEN 20 ELSE 0 END + CASE WHEN keystroke_ms > 0 AND keystroke_ms < 200 THEN 10 ELSE 0 END, 0) / 100"),
     ("behavioral_vpn_detected", "CASE WHEN ip LIKE '10.8.%' OR ip LIKE '185.220.101.%' THEN 0.10 END"),
-    ("behavioral_impossible_travel", "CASE WHEN moved THEN 0.25 END"),
+    ("behavioral_impossible_travel", "CASE WHEN velocity IS NOT NULL THEN least(0.25, 0.15 + velocity / 10000) END"),
+    ("behavioral_known_device_cluster", "CASE WHEN cluster_score > 0 THEN cluster_score END"),
 ]
 _SEQ = {n: i for i, (n, _) in enumerate(fixed.SIGNAL_REASONS)}
 _REASON = dict(fixed.SIGNAL_REASONS)
-EXTRA_VIEWS["signal_rows"] = " UNION ALL ".join(
-    f"SELECT doc_id, {_SEQ[n]} AS seq, '{n}' AS signal, '{_REASON[n]}' AS reason, CAST({e} AS DOUBLE) AS value FROM rule_rows WHERE ({e}) IS NOT NULL" for n, e in _SIGNALS)
+# A tax form names its PAN before its company; structural shape alone names no reason until it is half certain.
+_ORDER = {n: str(float(i)) for n, i in _SEQ.items()} | {"pan_name_mismatch": f"CASE WHEN {_TAX} THEN {_SEQ['company_not_found'] - 0.5} ELSE {float(_SEQ['pan_name_mismatch'])} END"}
+_NAMED = {n: f"'{r}'" for n, r in _REASON.items()} | {"ml_structural_anomaly": f"CASE WHEN anomaly_score >= 0.5 THEN '{_REASON['ml_structural_anomaly']}' END"}
+EXTRA_VIEWS["signal_rows"] = "SELECT doc_id, e.seq, e.signal, e.reason, e.value, e.place FROM (SELECT doc_id, unnest([" + ",\n".join(
+    f"{{'seq': {_SEQ[n]}, 'signal': '{n}', 'reason': {_NAMED[n]}, 'value': CAST({e} AS DOUBLE), 'place': CAST({_ORDER[n]} AS DOUBLE)}}" for n, e in _SIGNALS) + "]) AS e FROM rule_rows) u WHERE e.value IS NOT NULL"
 _WEIGHT = "CASE rank " + " ".join(f"WHEN {i + 1} THEN {w}" for i, w in enumerate(fixed.RANK_WEIGHTS)) + " ELSE 0.05 END"
 EXTRA_VIEWS["ranked_signals"] = "SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, signal) AS INT) AS rank FROM signal_rows"
 EXTRA_VIEWS["score_sums"] = f"""SELECT doc_id, least(1.0, round(sum(value * {_WEIGHT}), 9)) AS s, bool_or(signal = 'hash_chain_integrity') AS bad FROM ranked_signals GROUP BY doc_id"""
@@ -66,7 +137,7 @@ def _dec(x: str, n: int) -> str:
 
 
 def _signals(v: Inputs) -> DataFrame:
-    return score.signals_long(scoring.case_inputs(v))
+    return score.signals_long(features.case_features(v))
 
 
 @query(f"SELECT doc_id, seq, signal, reason, {_dec('value', 6)} AS value FROM signal_rows")
@@ -85,9 +156,9 @@ def fraud_score(v: Inputs) -> DataFrame:
     return score.score_signals(_signals(v))
 
 
-@query("""SELECT doc_id, string_agg(reason, ',' ORDER BY seq) AS reasons FROM (SELECT doc_id, reason, min(seq) AS seq FROM signal_rows GROUP BY doc_id, reason) r GROUP BY doc_id""")
+@query("""SELECT doc_id, coalesce(string_agg(reason, ',' ORDER BY place), '') AS reasons FROM (SELECT doc_id, reason, min(place) AS place FROM signal_rows GROUP BY doc_id, reason) r GROUP BY doc_id""")
 def reasons_distinct(v: Inputs) -> DataFrame:
-    rows = score.with_signals(scoring.case_inputs(v)).filter(F.size("signals") > 0)
+    rows = score.with_signals(features.case_features(v)).filter(F.size("signals") > 0)
     return rows.select("doc_id", F.array_join(score.distinct_reasons(F.col("signals")), ",").alias("reasons"))
 
 
@@ -110,9 +181,9 @@ _CASE_ACTION = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.STATE_ACTION.
   CASE WHEN bad THEN '{fixed.STATE_LABEL_INTEGRITY}' ELSE CASE st {_CASE_STATE} END END AS ui_label, CASE st {_CASE_ACTION} END AS action, coalesce(array_to_string(rs, ','), '') AS reasons,
   CASE WHEN bad THEN '{fixed.SUMMARY_INTEGRITY}' WHEN len(rs) > 0 THEN 'Document flagged due to ' || array_to_string(list_transform(rs[1:3], lambda r: CASE r {_CASE_LABEL} ELSE lower(r) END), ', ') || '.' ELSE '{fixed.SUMMARY_CLEAN}' END AS summary
 FROM (SELECT c.doc_id, s, coalesce(bad, false) AS bad, CASE WHEN s IS NULL THEN 'LOW' ELSE {_STATE} END AS st FROM cases c LEFT JOIN score_sums q ON q.doc_id = c.doc_id) c
-LEFT JOIN (SELECT doc_id, list(reason ORDER BY seq) AS rs FROM (SELECT doc_id, reason, min(seq) AS seq FROM signal_rows GROUP BY doc_id, reason) r GROUP BY doc_id) l ON l.doc_id = c.doc_id""")
+LEFT JOIN (SELECT doc_id, list(reason ORDER BY place) AS rs FROM (SELECT doc_id, reason, min(place) AS place FROM signal_rows WHERE reason IS NOT NULL GROUP BY doc_id, reason) r GROUP BY doc_id) l ON l.doc_id = c.doc_id""")
 def score_cases(v: Inputs) -> DataFrame:
-    out = score.score_rows(scoring.case_inputs(v))
+    out = score.score_rows(features.case_features(v))
     return out.select("doc_id", "fraud_score", "p_value", "state", "ui_label", "action", F.array_join("reasons", ",").alias("reasons"), "summary")
 
 
@@ -123,7 +194,7 @@ def score_documents(v: Inputs) -> DataFrame:
     return out.select("doc_id", "document_type", "fraud_score", "state", F.array_join("reasons", ",").alias("reasons"), "summary")
 
 
-_RANK_REASON = f"SELECT doc_id, reason, {_dec('max(value)', 3)} AS confidence, min(seq) AS seq FROM signal_rows GROUP BY doc_id, reason"
+_RANK_REASON = f"SELECT doc_id, reason, {_dec('max(value)', 3)} AS confidence, min(seq) AS seq FROM signal_rows WHERE reason IS NOT NULL GROUP BY doc_id, reason"
 _CASE_FAMILY = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.REASON_FAMILY.items())
 _CASE_SYSTEM = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.REASON_SYSTEM.items())
 
@@ -134,7 +205,7 @@ def findings_ranked(v: Inputs) -> DataFrame:
     return reports.findings_ranked(_signals(v)).drop("seq")
 
 
-@query(f"""SELECT doc_id, count(DISTINCT reason) AS reasons, count(DISTINCT CASE reason {_CASE_SYSTEM} ELSE 'Automated Analysis' END) AS systems FROM signal_rows GROUP BY doc_id HAVING count(DISTINCT reason) >= 2""")
+@query(f"""SELECT doc_id, count(DISTINCT reason) AS reasons, count(DISTINCT CASE reason {_CASE_SYSTEM} ELSE 'Automated Analysis' END) AS systems FROM signal_rows WHERE reason IS NOT NULL GROUP BY doc_id HAVING count(DISTINCT reason) >= 2""")
 def evidence_convergence(v: Inputs) -> DataFrame:
     return reports.evidence_convergence(_signals(v))
 

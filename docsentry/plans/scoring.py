@@ -23,18 +23,6 @@ def device_inputs(telemetry: DataFrame, geo: DataFrame) -> DataFrame:
     return flags.select("doc_id", "scripted_score", "network_score").join(clone, "doc_id", "left").join(travel, "doc_id", "left")
 
 
-def case_inputs(v: Inputs) -> DataFrame:
-    """Cases with salary history, device behaviour, text template and duplicate inputs, one row per case."""
-    rows = history.salary_outlier(v.cases).select(
-        "doc_id", "document_type", "employee_name", "employer_name", "salary", "net_pay", "loan_amount", "job_title", "salary_risk",
-        F.col("receipt_hash").alias("content_hash"), F.col("previous_receipt_hash").alias("previous_hash"))
-    seen = history.duplicates(v.docs.select("doc_id", "content_hash", "t")).select("doc_id", "is_duplicate")
-    template = v.documents.select("doc_id", ft.template_score(F.col("text")).alias("template_score"))
-    return (
-        rows.join(device_inputs(v.telemetry, v.geo), "doc_id", "left").join(seen, "doc_id", "left").join(template, "doc_id", "left")
-    )
-
-
 def score_documents(v: Inputs, today: str) -> DataFrame:
     """Score submitted texts: classify, extract, verify, compare with the form and with history.
 

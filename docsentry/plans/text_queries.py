@@ -419,10 +419,14 @@ SELECT doc_id, len(list_filter(l, lambda x: x IS NOT NULL)) AS checks, len(list_
 SELECT doc_id, [{_differs('fe', 'de')}, {_differs('fr', 'dr')}, {_differs('ft', 'dt')},
   CASE WHEN fs IS NOT NULL AND ds IS NOT NULL THEN abs(fs - ds) / greatest(fs, 1) > 0.10 END] AS l FROM form_pairs) p) q""")
 def form_vs_document_mismatch(v: Inputs) -> DataFrame:
+    return form_rows(v, all_fields(v))
+
+
+def form_rows(v: Inputs, fields: DataFrame) -> DataFrame:
     form = v.cases.select(
         "doc_id", F.col("employee_name").alias("form_employee_name"), F.col("employer_name").alias("form_employer_name"),
         F.col("salary").alias("form_salary"), F.when(F.col("doc_id") % 3 == 0, "Head Teacher").otherwise(F.col("job_title")).alias("form_job_title"))
-    found = all_fields(v).select(
+    found = fields.select(
         "doc_id", F.col("employee_name").alias("doc_employee_name"), F.col("employer_name").alias("doc_employer_name"),
         F.col("salary_amount").alias("doc_salary"), F.col("designation").alias("doc_job_title"))
     return ft.form_mismatch(form.join(found, "doc_id")).select("doc_id", "checks", "mismatches", "form_pdf_mismatch")
