@@ -98,12 +98,22 @@ def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
                          "quota": [taken.get(s, 0) for s in rows["size"].tolist()], "source_size": rows["source_size"], "target": rows["target"]})
 
 
-def _chosen(docs: DataFrame, place: Column, seed: int, **shares: object) -> DataFrame:
-    """doc_id, place, size, source_size, target, copies of every row; ``place`` tells rows apart."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))  # null is a source, too
-    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(F.col("text")).cast("string")), F.lit(seed))
-    part = F.shiftrightunsigned(draw, 64 - SLICE_BITS)
-    rows = cut_lineage(docs.select("doc_id", place.alias("place"), key.alias("source_key"), words(F.col("text")).alias("size"), draw.alias("draw"), part.alias("slice")))
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))  # null is a source, too
+
+
+def _draw(seed: int) -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(F.col("text")).cast("string")), F.lit(seed))
+
+
+def _slice(draw: Column) -> Column:
+    return F.shiftrightunsigned(draw, 64 - SLICE_BITS)
+
+
+def _placed(docs: DataFrame, seed: int, *more: Column, **shares: object) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, ``more``, source_key, size, draw, slice, and what is held and wanted of their slice; the same plan by slice)."""
+    rows = docs.select("doc_id", *more, _key().alias("source_key"), words(F.col("text")).alias("size"), _draw(seed).alias("draw"))
+    rows = cut_lineage(rows.withColumn("slice", _slice(F.col("draw"))))
     slices = cut_lineage(rows.groupBy("source_key", "size", "slice").agg(F.count(F.lit(1)).alias("held")))
     counts = slices.groupBy("source_key", "size").agg(F.sum("held").alias("documents"))
     sources = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
@@ -114,7 +124,13 @@ def _chosen(docs: DataFrame, place: Column, seed: int, **shares: object) -> Data
         _fitted, "source_key string, size long, repeats int, quota long, source_size long, target double")
     before = F.sum("held").over(Window.partitionBy("source_key", "size").orderBy("slice")) - F.col("held")
     plan = slices.join(plan, ["source_key", "size"]).withColumn("wanted", F.greatest(F.lit(0), F.least(F.col("held"), F.col("quota") - before)))
-    placed = rows.join(cut_lineage(plan), ["source_key", "size", "slice"])
+    plan = cut_lineage(plan)
+    return rows.join(plan, ["source_key", "size", "slice"]), plan
+
+
+def _chosen(docs: DataFrame, place: Column, seed: int, **shares: object) -> DataFrame:
+    """doc_id, place, size, source_size, target, copies of every row; ``place`` tells rows apart."""
+    placed, _ = _placed(docs, seed, place.alias("place"), **shares)
     split = placed.filter("wanted > 0 and wanted < held")
     rank = F.row_number().over(Window.partitionBy("source_key", "size", "slice").orderBy("draw", "doc_id", "place"))
     chosen = placed.filter("wanted = 0 or wanted = held").withColumn("more", (F.col("wanted") > 0).cast("int"))
@@ -123,6 +139,22 @@ def _chosen(docs: DataFrame, place: Column, seed: int, **shares: object) -> Data
     return chosen.select("doc_id", "place", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
+def _cuts(docs: DataFrame, seed: int, **shares: object) -> DataFrame:
+    """For each source and size, one row: __repeats for all its rows, and up to which slice and draw rows come once more.
+
+    Slices up to __full come whole, of slice __part draws up to __upto; where rows share that draw and not all come (__tied), __left of them do.
+    """
+    placed, plan = _placed(docs, seed, **shares)
+    each = ["source_key", "size", "slice"]
+    ranked = placed.filter("wanted > 0 and wanted < held").select(*each, "draw", "wanted", F.row_number().over(Window.partitionBy(*each).orderBy("draw")).alias("rank"))
+    same = Window.partitionBy(*each, "draw")
+    last = ranked.withColumns({"first": F.min("rank").over(same), "all": F.count(F.lit(1)).over(same)}).filter("rank = wanted")
+    last = last.select("source_key", "size", F.col("slice").alias("__part"), F.col("draw").alias("__upto"), (F.col("wanted") - F.col("first") + 1).alias("__left"), "all")
+    whole = plan.groupBy("source_key", "size").agg(F.max("repeats").alias("__repeats"), F.max(F.when((F.col("wanted") == F.col("held")) & (F.col("held") > 0), F.col("slice"))).alias("__full"))
+    out = whole.join(last, ["source_key", "size"], "left").withColumn("__tied", F.coalesce(F.col("__left") < F.col("all"), F.lit(False))).drop("all")
+    return out.withColumnsRenamed({"source_key": "__source", "size": "__size"})
+
+
 def mix(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (words the mix takes) of every document."""
     chosen = _chosen(docs, F.monotonically_increasing_id(), seed, **shares)
@@ -130,10 +162,22 @@ def mix(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = SEED, **shares: object) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, columns unchanged."""
+    """The rows of ``docs`` as often as the mix takes them, columns unchanged.
+
+    Rows are judged by their source, size and draw against a table of one row per source and size, so no text moves for it. Of rows
+    that share the draw at which a size's quota ends, the first by id and hash of the text come.
+    """
     with inner_tables(docs.sparkSession):
-        placed = cut_lineage(docs.withColumn("__place", F.monotonically_increasing_id()), outlives=True)  # written once, so a row keeps its number
-        copies = _chosen(placed, F.col("__place"), seed, **shares).filter("copies > 0").select(F.col("place").alias("__place"), F.col("copies").alias("__copies"))
-        copies = cut_lineage(copies, outlives=True)
-    out = placed.join(copies, "__place")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        cuts = cut_lineage(_cuts(docs, seed, **shares), outlives=True)
+    own = docs.withColumns({"__source": _key(), "__size": words(F.col("text")), "__draw": _draw(seed)})
+    rows = own.join(cuts, ["__source", "__size"]).withColumn("__slice", _slice(F.col("__draw")))
+    at_end = (F.col("__slice") == F.col("__part")) & (F.col("__draw") == F.col("__upto"))
+    below = (F.col("__slice") == F.col("__part")) & (F.col("__draw") <= F.col("__upto")) & ~(F.col("__tied") & at_end)
+    more = F.coalesce(F.col("__slice") <= F.col("__full"), F.lit(False)) | F.coalesce(below, F.lit(False))
+    copies = F.sequence(F.lit(1), F.col("__repeats") + more.cast("int"))
+    out = rows.filter(F.col("__repeats") + more.cast("int") > 0).withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    if not cuts.filter("__tied").take(1):
+        return out
+    order = Window.partitionBy("__source", "__size").orderBy("doc_id", F.xxhash64("text"))
+    tied = rows.filter(F.col("__tied") & at_end).withColumn("__rank", F.row_number().over(order)).filter("__rank <= __left")
+    return out.unionAll(tied.select(*docs.columns))
