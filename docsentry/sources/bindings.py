@@ -296,7 +296,7 @@ def check_sql(sql: str, extra: dict[str, str] | None = None) -> str:
     need(sql)
     if not order:
         return _spell(sql, _CHECK_SPELLING)
-    with_parts = ",\n".join(f"{n} AS ({every[n].strip()})" for n in order)
+    with_parts = ",\n".join(f"{n} AS MATERIALIZED ({every[n].strip()})" for n in order)
     head = f"WITH RECURSIVE {with_parts}"
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):

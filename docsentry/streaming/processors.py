@@ -1,7 +1,9 @@
 """Keyed state of the submission-time checks.
 
-Rows of one key within one micro-batch are put in time order first; the trigger bounds how many there are. Rows that
-arrive after later ones are judged by what is known then, and the batch twin sees them in order on its next run.
+Rows of one key within one micro-batch are put in time order first; the trigger bounds how many there are. A row that arrives
+late, but within ``LATE`` of the newest one, is judged at its own time, and the rows after it whose verdict it changes are judged again:
+they come out once more with a higher ``turn``, and the highest turn of a row is its verdict. Later rows than that are dropped by the
+watermark. State reaches back as far as a row within the watermark may look, and goes when its key has been silent for that long.
 """
 
 from __future__ import annotations
@@ -17,29 +19,88 @@ DAY = 86_400_000_000
 MINUTE = 60_000_000
 
 
+HOUR = 3_600_000_000
+LATE = HOUR
+
+
+class Forgetting(StatefulProcessor):
+    """A processor whose state goes when its key has been silent for ``reach`` and the watermark's delay: an event-time timer, moved with each row."""
+
+    def __init__(self, inner: StatefulProcessor, reach: int) -> None:
+        self.inner, self.reach = inner, reach
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.inner.init(handle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        newest = 0
+
+        def watched() -> Iterator[pd.DataFrame]:
+            nonlocal newest
+            for part in rows:
+                newest = max(newest, int(part["t"].max()))
+                yield part
+
+        yield from self.inner.handleInputRows(key, watched(), timerValues)
+        at = (newest + self.reach + LATE) // 1000 + 1
+        if self.timer.exists():
+            before = int(self.timer.get()[0])
+            if before >= at:
+                return
+            self.handle.deleteTimer(before)
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.inner.forget()
+        self.timer.clear()
+        return iter([])
+
+
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
 
 class RateLimit(StatefulProcessor):
-    """Accept at most 10 submissions per address in any 60 seconds; a refused one does not count."""
+    """Accept at most 10 submissions per address in any 60 seconds; a refused one does not count.
+
+    State: the rows that a late one may still meet, in order, with their verdicts. Verdicts before the earliest new row stay.
+    """
 
     LIMIT = 10
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", "t bigint")
+        self.rows = handle.getListState("rows", "t bigint, doc_id bigint, accepted boolean, turn int")
+
+    def forget(self) -> None:
+        self.rows.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = [int(r[0]) for r in self.accepted.get()]
         batch = _ordered(rows, ["t", "doc_id"])
-        verdicts = []
-        for t in batch["t"]:
-            kept = [k for k in kept if t - k < MINUTE]
-            verdicts.append(len(kept) < self.LIMIT)
-            if verdicts[-1]:
-                kept.append(int(t))
-        self.accepted.put([(k,) for k in kept])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "ip": key[0], "t": batch["t"], "accepted": verdicts})
+        known = [(int(r[0]), int(r[1]), bool(r[2]), int(r[3])) for r in self.rows.get()]
+        first = (int(batch["t"].iloc[0]), int(batch["doc_id"].iloc[0]))
+        stays = bisect.bisect_left(known, first)
+        todo = sorted([(*r[:2], r[2], r[3]) for r in known[stays:]] + [(int(t), int(d), None, -1) for t, d in zip(batch["t"], batch["doc_id"], strict=True)], key=lambda r: r[:2])
+        judged, out = known[:stays], []
+        times = [r[0] for r in judged if r[2]]
+        for t, doc, before, turn in todo:
+            inside = len(times) - bisect.bisect_right(times, t - MINUTE)
+            accepted = inside < self.LIMIT
+            if accepted:
+                times.append(t)
+            if accepted != before:
+                turn += 1
+                out.append((doc, key[0], t, accepted, turn))
+            judged.append((t, doc, accepted, turn))
+        keep = bisect.bisect_left(judged, (judged[-1][0] - MINUTE - LATE,))
+        self.rows.put(judged[keep:])
+        yield pd.DataFrame(out, columns=["doc_id", "ip", "t", "accepted", "turn"])
+
+
+def clone_scores(counts: pd.Series) -> pd.Series:
+    return ((counts - 3) * 0.05 + 0.10).clip(upper=0.30).where(counts > 3, 0.0)
 
 
 class DeviceClone(StatefulProcessor):
@@ -48,11 +109,14 @@ class DeviceClone(StatefulProcessor):
     A row up to ``LATE`` behind the newest one is counted among the times around its own, as the batch twin does.
     """
 
-    LATE = 3_600_000_000
+    LATE = LATE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.times = handle.getListState("times", "t bigint")
 
+    def forget(self) -> None:
+        self.times.clear()
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, ["t", "doc_id"])
         window = [int(r[0]) for r in self.times.get()]
@@ -62,41 +126,112 @@ class DeviceClone(StatefulProcessor):
             counts.append(bisect.bisect_right(window, t) - bisect.bisect_left(window, t - DAY))
         self.times.put([(t,) for t in window[bisect.bisect_left(window, window[-1] - DAY - self.LATE) :]])
         n = pd.Series(counts, dtype="int64")
-        score = ((n - 3) * 0.05 + 0.10).clip(upper=0.30).where(n > 3, 0.0)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": key[0], "submissions_24h": n, "clone_score": score})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": key[0], "submissions_24h": n, "clone_score": clone_scores(n)})
+
+
+class DeviceCloneAgain(StatefulProcessor):
+    """The same counts by (time, id), where rows that follow a late one are counted again.
+
+    State: a map from hour to that hour's rows. A call reads the hours of its rows and the day before them, and the hours after late ones.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hours = handle.getMapState("hours", "hour bigint", "rows array<struct<t:bigint,doc_id:bigint,turn:int>>")
+        self.newest = handle.getValueState("newest", "t bigint")
+
+    def forget(self) -> None:
+        self.hours.clear()
+        self.newest.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = _ordered(rows, ["t", "doc_id"])
+        first, last = int(batch["t"].iloc[0]), int(batch["t"].iloc[-1])
+        newest = max(last, int(self.newest.get()[0]) if self.newest.exists() else last)
+        window = []
+        for hour in range((first - DAY) // HOUR, newest // HOUR + 1):
+            if self.hours.containsKey((hour,)):
+                window += [(int(r[0]), int(r[1]), int(r[2])) for r in self.hours.getValue((hour,))[0]]
+        window = sorted(window + [(int(t), int(d), -1) for t, d in zip(batch["t"], batch["doc_id"], strict=True)])
+        times, out, touched = [r[0] for r in window], [], {}
+        start = bisect.bisect_left(window, (first, int(batch["doc_id"].iloc[0])))
+        fresh = [0]
+        for _, _, turn in window:
+            fresh.append(fresh[-1] + (turn < 0))
+        for i in range(start, len(window)):
+            t, doc, turn = window[i]
+            low = bisect.bisect_left(times, t - DAY)
+            if fresh[i + 1] > fresh[low]:  # a new row lies in its day
+                out.append((doc, key[0], i + 1 - low, turn + 1))
+                window[i] = (t, doc, turn + 1)
+                touched.setdefault(t // HOUR, None)
+        for hour in touched:
+            a, b = bisect.bisect_left(times, hour * HOUR), bisect.bisect_left(times, (hour + 1) * HOUR)
+            self.hours.updateValue((hour,), ([tuple(r) for r in window[a:b]],))
+        self.newest.update((newest,))
+        oldest = (newest - DAY - LATE) // HOUR
+        for hour in [k[0] for k in self.hours.keys()]:  # at most a day's hours and a few
+            if hour < oldest:
+                self.hours.removeKey((hour,))
+        frame = pd.DataFrame(out, columns=["doc_id", "fingerprint", "submissions_24h", "turn"])
+        yield frame.assign(clone_score=clone_scores(frame["submissions_24h"]))[["doc_id", "fingerprint", "submissions_24h", "clone_score", "turn"]]
 
 
 class LastPlaces(StatefulProcessor):
-    """For each submission, the last visit of its device to every other place, for the travel check."""
+    """For each submission, the last visit of its device to every other place in the day before it, for the travel check.
+
+    State: a map from hour to that hour's visits; a call reads the hours around its rows only. A late visit also comes out as the
+    previous one of the visits after it, up to the next visit to its own place.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visits = handle.getMapState("visits", "lat double, lon double", "t bigint, doc_id bigint, ip string")
+        self.hours = handle.getMapState("hours", "hour bigint", "visits array<struct<t:bigint,doc_id:bigint,ip:string,lat:double,lon:double>>")
+        self.newest = handle.getValueState("newest", "t bigint")
+
+    def forget(self) -> None:
+        self.hours.clear()
+        self.newest.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = {(k[0], k[1]): (v[0], v[1], v[2]) for k, v in self.visits.iterator()}
         batch = _ordered(rows, ["t", "doc_id"])
-        touched, out = set(), []
-        for row in batch.itertuples(index=False):
-            here = (row.lat, row.lon)
-            out += [
-                (row.doc_id, key[0], row.t, row.lat, row.lon, there[0], there[1], t, d, ip)
-                for there, (t, d, ip) in last.items() if there != here and t >= row.t - DAY
-            ]
-            last[here] = (int(row.t), int(row.doc_id), row.ip)
-            touched.add(here)
-        for place in touched:
-            self.visits.updateValue(place, last[place])
+        first, last = int(batch["t"].iloc[0]), int(batch["t"].iloc[-1])
+        newest = max(last, int(self.newest.get()[0]) if self.newest.exists() else last)
+        visits = []
+        for hour in range((first - DAY) // HOUR, newest // HOUR + 1):
+            if self.hours.containsKey((hour,)):
+                visits += [(int(r[0]), int(r[1]), r[2], float(r[3]), float(r[4]), False) for r in self.hours.getValue((hour,))[0]]
+        visits += [(int(r.t), int(r.doc_id), r.ip, float(r.lat), float(r.lon), True) for r in batch.itertuples(index=False)]
+        visits.sort(key=lambda r: r[:2])
+        out, at, touched = [], {}, set()
+        for t, doc, ip, lat, lon, new in visits:
+            for (plat, plon), (pt, pdoc, pip, pnew) in at.items():
+                if (plat, plon) != (lat, lon) and (new or pnew) and pt >= t - DAY:
+                    out.append((doc, key[0], t, lat, lon, plat, plon, pt, pdoc, pip))
+            at[lat, lon] = (t, doc, ip, new)
+            if new:
+                touched.add(t // HOUR)
+        for hour in touched:
+            self.hours.updateValue((hour,), ([r[:5] for r in visits if r[0] // HOUR == hour],))
+        self.newest.update((newest,))
+        oldest = (newest - DAY - LATE) // HOUR
+        for hour in [k[0] for k in self.hours.keys()]:
+            if hour < oldest:
+                self.hours.removeKey((hour,))
         names = ["doc_id", "fingerprint", "t", "lat", "lon", "plat", "plon", "previous_t", "previous_doc_id", "previous_ip"]
         if out:
             yield pd.DataFrame(out, columns=names)
 
 
 class SeenHash(StatefulProcessor):
-    """First document of each content hash; later ones are copies of it."""
+    """First document of each content hash to arrive; later ones are copies of it. A hash is forgotten when no copy came for ``KEPT``."""
+
+    KEPT = 30 * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "doc_id bigint")
 
+    def forget(self) -> None:
+        self.first.clear()
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # A hash seen before needs no look at the batch; only a new one has its rows held to find the earliest.
         if not self.first.exists():
