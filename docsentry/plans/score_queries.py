@@ -183,7 +183,8 @@ _CASE_ACTION = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in fixed.STATE_ACTION.
 @query(f"""SELECT c.doc_id, {_dec('coalesce(s, 0)', 3)} AS fraud_score, round(greatest((1.0 - coalesce(s, 0)) * (1.0 - coalesce(s, 0)), 0.001), 3) AS p_value, st AS state,
   CASE WHEN bad THEN '{fixed.STATE_LABEL_INTEGRITY}' ELSE CASE st {_CASE_STATE} END END AS ui_label, CASE st {_CASE_ACTION} END AS action, coalesce(array_to_string(rs, ','), '') AS reasons,
   CASE WHEN bad THEN '{fixed.SUMMARY_INTEGRITY}' WHEN len(rs) > 0 THEN 'Document flagged due to ' || array_to_string(list_transform(rs[1:3], lambda r: CASE r {_CASE_LABEL} ELSE lower(r) END), ', ') || '.' ELSE '{fixed.SUMMARY_CLEAN}' END AS summary
-FROM (SELECT c.doc_id, s, coalesce(bad, false) AS bad, CASE WHEN s IS NULL THEN 'LOW' ELSE {_STATE} END AS st FROM cases c LEFT JOIN score_sums q ON q.doc_id = c.doc_id) c
+FROM (SELECT c.doc_id, s, coalesce(bad, false) AS bad, CASE WHEN (s IS NULL OR {_STATE} = 'LOW') AND NOT scanned AND cover < 0.5 THEN 'WATCH' WHEN s IS NULL THEN 'LOW' ELSE {_STATE} END AS st
+  FROM rule_rows c LEFT JOIN score_sums q ON q.doc_id = c.doc_id) c
 LEFT JOIN (SELECT doc_id, list(reason ORDER BY place) AS rs FROM (SELECT doc_id, reason, min(place) AS place FROM signal_rows WHERE reason IS NOT NULL GROUP BY doc_id, reason) r GROUP BY doc_id) l ON l.doc_id = c.doc_id""")
 def score_cases(v: Inputs) -> DataFrame:
     out = score.score_rows(features.case_features(v))
