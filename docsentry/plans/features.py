@@ -95,10 +95,17 @@ def history_inputs(v: Inputs) -> list[DataFrame]:
 
 
 def case_features(v: Inputs, today: str = tq.TODAY) -> DataFrame:
-    """The inputs of all rules, one row per case, written once; scores, signals and reports read that table."""
-    base = v.cases.select(
+    """The inputs of all rules, one row per case, written once; scores, signals and reports read that table.
+
+    Each group of checks is written by itself: one plan of all of them would be planned anew after every stage.
+    """
+    base = cut_lineage(v.cases.select(
         "doc_id", "document_type", "employee_name", "employer_name", "salary", "net_pay", "loan_amount", "job_title", F.col("pan_number").alias("form_pan"),
-        F.col("receipt_hash").alias("content_hash"), F.col("previous_receipt_hash").alias("previous_hash"))
+        F.col("receipt_hash").alias("content_hash"), F.col("previous_receipt_hash").alias("previous_hash")))
     fields = read_fields(v)
-    parts = [*text_inputs(v, fields, today), *registry_inputs(v, fields), *page_inputs(v), *history_inputs(v)]
-    return cut_lineage(reduce(lambda left, right: left.join(right, "doc_id", "left"), parts, base))
+
+    def joined(start: DataFrame, parts: list[DataFrame]) -> DataFrame:
+        return cut_lineage(reduce(lambda left, right: left.join(right, "doc_id", "left"), parts, start))
+
+    groups = [text_inputs(v, fields, today), registry_inputs(v, fields), page_inputs(v), history_inputs(v)]
+    return joined(base, [joined(base.select("doc_id"), parts) for parts in groups])
