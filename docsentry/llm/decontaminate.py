@@ -10,7 +10,7 @@ The items are a query set: they are dealt into blocks of at most ``BLOCK_CHARS``
 and scanned against all documents. Documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing; an item shorter than ``SHORT`` characters must be the whole
-document; repeated rows are tested each; items with equal ids are all tested; of several passages of one item in a
+document or, with ``short_inside``, stand in it unchanged between word borders; repeated rows are tested each; items with equal ids are all tested; of several passages of one item in a
 document the nearest counts, of equally near ones the first; empty tables give empty results; extra columns of documents
 are kept by ``clean`` and not read otherwise.
 """
@@ -73,16 +73,16 @@ class Match:
 
 
 class Matcher:
-    """All passages of a block of items in a text."""
+    """All passages of a block of items in a text. ``short_inside``: items under ``SHORT`` characters are found inside texts, too, where they stand as whole words."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], short_inside: bool = False) -> None:
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.budget = [len(t) // EDITS_PER for t in self.texts]
         self.short: dict[str, list[int]] = defaultdict(list)
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, t in enumerate(self.texts):
-            if len(t) < SHORT:
+            if len(t) < SHORT and not short_inside:
                 self.short[t].append(i)
                 continue
             cuts = [len(t) * k // (self.budget[i] + 1) for k in range(self.budget[i] + 2)]
@@ -109,6 +109,10 @@ class Matcher:
 
     def _best(self, i: int, begun: list[int], text: str) -> Match | None:
         item, k = self.texts[i], self.budget[i]
+        if len(item) < SHORT:  # one piece without edits: it begins where it was found
+            whole = (s for s in begun if not text[s - 1 : s].isalnum() and not text[s + len(item) : s + len(item) + 1].isalnum())
+            start = next(whole, None)
+            return None if start is None else Match(i, 0, start + len(item))
         stretches: list[list[int]] = []
         for s in begun:
             low, high = max(0, s - k), min(len(text), s + len(item) + k)
@@ -145,7 +149,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """doc_id, item_id, distance, end_char (in the normal text): one row for each document that holds a passage of an item."""
     spark = docs.sparkSession
     item_type = benchmark.schema["item_id"].dataType
@@ -158,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value)
+            matcher = Matcher(sent.value, short_inside)
             for batch in batches:
                 rows, found = [], []
                 for r, text in enumerate(batch.column(1).to_pylist()):
@@ -174,14 +178,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """The rows of ``docs`` without a passage of any item, columns unchanged."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     for block in item_blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value)
+            matcher = Matcher(sent.value, short_inside)
             for batch in batches:
                 kept = np.fromiter((not matcher.matches(normal(t)) for t in batch.column(at).to_pylist()), bool, batch.num_rows)
                 yield batch.filter(pa.array(kept))
