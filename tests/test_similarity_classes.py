@@ -31,3 +31,22 @@ def test_thousands_of_copies(spark):
     assert 0 not in signal and signal[1].is_duplicate and signal[1].top_similar is None
     # the near copy came in the middle: only later copies have it before them
     assert signal[2400].top_similar is None and signal[2600].top_similar == score and signal[9000].top_similar == score and not signal[9000].is_duplicate
+
+
+def test_one_look_for_many_texts(spark):
+    """Documents that look alike but read differently are told apart before their texts meet; those that read alike are all found."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    base = rng.sample(words, 100)
+    texts = [rng.sample(words, 100) for _ in range(300)] + [base[:95] + rng.sample(words, 5) for _ in range(10)]
+    rows = [(i, " ".join(x), f"h{i}", "00ff00ff00ff00ff", "L", f"S{i % 3}", f"P{i}", f"E{i % 4}", 1000.0 * (i % 9), i) for i, x in enumerate(texts)]
+    prints = similarity.fingerprints(spark.createDataFrame(rows, SCHEMA)).persist()
+    found = similarity.candidates(prints).select("cur.doc_id", "old.doc_id").collect()
+    assert {(a, b) for a, b in found if b >= 300} == {(a, b) for a in range(300, 310) for b in range(300, a)} and len(found) < 1000
+
+
+def test_copies_come_with_their_class(spark):
+    rows = [(i, "alpha beta gamma", "h", "00ff00ff00ff00ff", "L", "S", "Ann", "Acme", 5.0, i) for i in (7, 3, 9)]
+    rows.append((1, "other words here", "g", "ff00ff00ff00ff00", "M", "S", "Bob", "Else", 9.0, 1))
+    got = similarity.members(similarity.classes(similarity.fingerprints(spark.createDataFrame(rows, SCHEMA)))).collect()
+    assert sorted((r.doc_id, r.other_doc_id, r.distance, r.score, r.copies) for r in got) == [(7, 3, 0, 1.0, 3), (9, 3, 0, 1.0, 3)]
