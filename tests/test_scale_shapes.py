@@ -171,3 +171,17 @@ def test_similarity_score(spark):
 def test_hash_helpers(spark):
     got = spark.createDataFrame([("abc",)], "s string").select(udfs.sha3_256("s").alias("h"), udfs.nfkc(F.lit("ﬁx")).alias("n")).first()
     assert got.h == hashlib.sha3_256(b"abc").hexdigest() and got.n == "fix"
+
+
+def test_graph_entities_without_values_are_not_sorted(spark):
+    rows = [(f"d{i}", f"N{i % 3}", f"E{i % 2}", 10.0 * i, f"p{i % 4}", f"f{i % 5}", None if i % 2 else "acc", 0.1 * i, "LOW", i) for i in range(20)]
+    cases = spark.createDataFrame(rows, "doc_id string, employee_name string, employer_name string, salary double, pan_number string, fingerprint string, "
+                                        "bank_account string, fraud_score double, risk_state string, t long")
+    node, edge = graph.build(cases)
+    for df in (node, edge):
+        assert "HashAggregate" in df._jdf.queryExecution().executedPlan().toString().replace("ObjectHashAggregate", "")
+    kinds = {r.label: r.n for r in node.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {"Applicant": 4, "Document": 20, "Employer": 2, "Device": 5, "BankAccount": 1, "PAN": 4}
+    assert {r.name for r in node.filter("label = 'Applicant'").collect()} == {"N0", "N1", "N2"}
+    assert edge.filter("type = 'SUBMITTED' AND salary_claimed IS NOT NULL").count() == 20
+    assert edge.filter("type = 'OWNS' AND dst = 'BankAccount:acc' AND salary_claimed IS NULL").count() == 2
