@@ -21,6 +21,8 @@ MINUTE = 60_000_000
 
 HOUR = 3_600_000_000
 LATE = HOUR
+#: Event time runs this far ahead of ``t``: a stream's first watermark is 1970, which would drop rows at or before it.
+AHEAD = 200 * 365 * DAY
 
 
 class Forgetting(StatefulProcessor):
@@ -44,7 +46,7 @@ class Forgetting(StatefulProcessor):
                 yield part
 
         yield from self.inner.handleInputRows(key, watched(), timerValues)
-        at = (newest + self.reach + LATE) // 1000 + 1
+        at = (newest + AHEAD + self.reach + LATE) // 1000 + 1
         if self.timer.exists():
             before = int(self.timer.get()[0])
             if before >= at:
