@@ -50,3 +50,16 @@ def test_copies_come_with_their_class(spark):
     rows.append((1, "other words here", "g", "ff00ff00ff00ff00", "M", "S", "Bob", "Else", 9.0, 1))
     got = similarity.members(similarity.classes(similarity.fingerprints(spark.createDataFrame(rows, SCHEMA)))).collect()
     assert sorted((r.doc_id, r.other_doc_id, r.distance, r.score, r.copies) for r in got) == [(7, 3, 0, 1.0, 3), (9, 3, 0, 1.0, 3)]
+
+
+def test_tokens_are_ordered_in_their_row(spark):
+    """No token set is shuffled to put its tokens in order, and distinct images, not documents, look for near ones."""
+    rows = [(i, f"alpha beta gamma word{'abc'[i % 3]}", f"h{i}", f"{i // 2:016x}", "L", "S", f"P{i}", "Acme", 5.0 + i, i) for i in range(12)]
+    prints = similarity.fingerprints(spark.createDataFrame(rows, SCHEMA)).persist()
+    found = similarity.candidates(prints)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    asked = {(r.doc_id, r.other_doc_id) for r in similarity.similar(prints).collect()}
+    ready = similarity._prepared(prints)
+    cur, old = (ready.select(F.struct(*ready.columns).alias(side)) for side in ("cur", "old"))
+    every = similarity.compare(cur.join(old, F.col("cur.t") > F.col("old.t"))).filter("score >= 0.8").collect()
+    assert asked == {(r.doc_id, r.other_doc_id) for r in every} and asked
