@@ -185,3 +185,40 @@ def test_graph_entities_without_values_are_not_sorted(spark):
     assert {r.name for r in node.filter("label = 'Applicant'").collect()} == {"N0", "N1", "N2"}
     assert edge.filter("type = 'SUBMITTED' AND salary_claimed IS NOT NULL").count() == 20
     assert edge.filter("type = 'OWNS' AND dst = 'BankAccount:acc' AND salary_claimed IS NULL").count() == 2
+
+
+def test_only_pieces_of_a_text_are_composed_in_python(spark):
+    import re
+    import unicodedata
+
+    # Characters that may be left out are single, no marks, unchanged, and never the second part of a composed one.
+    known = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), udfs.STABLE) + "]")
+    parts = [unicodedata.decomposition(chr(i)).split() for i in range(0x110000)]
+    second = {chr(int(p[1], 16)) for p in parts if len(p) == 2 and not p[0].startswith("<")} | {chr(i) for i in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    stable = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and known.match(chr(i))]
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and c not in second for c in stable)
+
+    texts = ["", "plain", "Müller für", "ﬁx", "e\u0301 and a\u0323\u0302x", "\u0301start", "각 가\u11a8", "ｶﾞ か\u3099 Ⅳ①", "a\u00a0b…", "é\u0301\u0323z", "x²½", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", "s", udfs.nfkc(F.col("s")).alias("n"))
+    assert {r.i: r.n for r in rows.collect()} == {i: None if x is None else unicodedata.normalize("NFKC", x) for i, x in enumerate(texts)}
+    # A long text of which one character may change moves as one piece of two.
+    long = spark.createDataFrame([("ü" * 100_000 + "ﬁ",)], "s string").select(udfs.nfkc(F.col("s")).alias("n"))
+    sent = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in sent.split("ArrowEvalPython")[1].split("\n")[0] + sent.split("ArrowEvalPython")[1]
+    assert long.first().n == "ü" * 100_000 + "fi"
+
+
+def test_unfolded_case_rows_are_dealt_before_they_are_grouped(spark):
+    """A task groups a partition of edges or entities, not all that its part of the narrow case table unfolds into; rows stay the same."""
+    from docsentry.operators import graph
+
+    cases = spark.createDataFrame([(str(i), f"P{i % 3}", "Acme", float(i), f"pan{i % 2}", f"f{i % 5}", i) for i in range(40)],
+                                  "doc_id string, employee_name string, employer_name string, salary double, pan_number string, fingerprint string, t bigint")
+    for table in (graph.edges(cases), graph.nodes(cases)):
+        lines = table._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert sum("RepartitionByExpression" in x for x in lines) == 2
+    rows = [(r.src, r.dst, r.type, r.salary_claimed) for r in graph.edges(cases).collect()]
+    want = {(f"Applicant:pan{i % 2}", f"Document:{i}", "SUBMITTED", float(i)) for i in range(40)} | {(f"Document:{i}", "Employer:Acme", "EXTRACTED_FROM", None) for i in range(40)}
+    want |= {(f"Applicant:pan{i % 2}", f"Device:f{i % 5}", "USES", None) for i in range(40)} | {(f"Applicant:pan{k}", f"PAN:pan{k}", "OWNS", None) for k in (0, 1)}
+    want |= {(f"Applicant:pan{k}", "Employer:Acme", "REGISTERED_WITH", None) for k in (0, 1)}
+    assert len(rows) == len(want) and set(rows) == want
