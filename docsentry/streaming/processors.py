@@ -9,7 +9,7 @@ watermark. State reaches back as far as a row within the watermark may look, and
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -131,6 +131,25 @@ class DeviceClone(StatefulProcessor):
         yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": key[0], "submissions_24h": n, "clone_score": clone_scores(n)})
 
 
+def _kept_hours(hours: Any, newest: Any, last: int) -> tuple[int, list[int]]:
+    """The newest time of a key with that of its new rows, and the hours its state holds: a day's and a few; a new key's state is not read."""
+    if not newest.exists():
+        return last, []
+    return max(last, int(newest.get()[0])), sorted(int(k[0]) for k in hours.keys())
+
+
+def _keep_hours(hours: Any, newest: Any, now: int, kept: list[int], touched: Iterable[int], rows_of: Callable[[int], list[tuple]]) -> None:
+    """Write the touched hours that a later row may still look back to, and drop those none can: most hours of a long batch never reach the state."""
+    oldest = (now - DAY - LATE) // HOUR
+    for hour in touched:
+        if hour >= oldest:
+            hours.updateValue((hour,), (rows_of(hour),))
+    for hour in kept:
+        if hour < oldest:
+            hours.removeKey((hour,))
+    newest.update((now,))
+
+
 class DeviceCloneAgain(StatefulProcessor):
     """The same counts by (time, id), where rows that follow a late one are counted again.
 
@@ -148,11 +167,8 @@ class DeviceCloneAgain(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, ["t", "doc_id"])
         first, last = int(batch["t"].iloc[0]), int(batch["t"].iloc[-1])
-        newest = max(last, int(self.newest.get()[0]) if self.newest.exists() else last)
-        window = []
-        for hour in range((first - DAY) // HOUR, newest // HOUR + 1):
-            if self.hours.containsKey((hour,)):
-                window += [(int(r[0]), int(r[1]), int(r[2])) for r in self.hours.getValue((hour,))[0]]
+        newest, kept = _kept_hours(self.hours, self.newest, last)
+        window = [(int(r[0]), int(r[1]), int(r[2])) for hour in kept if hour >= (first - DAY) // HOUR for r in self.hours.getValue((hour,))[0]]
         window = sorted(window + [(int(t), int(d), -1) for t, d in zip(batch["t"], batch["doc_id"], strict=True)])
         times, out, touched = [r[0] for r in window], [], {}
         start = bisect.bisect_left(window, (first, int(batch["doc_id"].iloc[0])))
@@ -166,14 +182,10 @@ class DeviceCloneAgain(StatefulProcessor):
                 out.append((doc, key[0], i + 1 - low, turn + 1))
                 window[i] = (t, doc, turn + 1)
                 touched.setdefault(t // HOUR, None)
-        for hour in touched:
-            a, b = bisect.bisect_left(times, hour * HOUR), bisect.bisect_left(times, (hour + 1) * HOUR)
-            self.hours.updateValue((hour,), ([tuple(r) for r in window[a:b]],))
-        self.newest.update((newest,))
-        oldest = (newest - DAY - LATE) // HOUR
-        for hour in [k[0] for k in self.hours.keys()]:  # at most a day's hours and a few
-            if hour < oldest:
-                self.hours.removeKey((hour,))
+        def rows_of(hour: int) -> list[tuple]:
+            return window[bisect.bisect_left(times, hour * HOUR) : bisect.bisect_left(times, (hour + 1) * HOUR)]
+
+        _keep_hours(self.hours, self.newest, newest, kept, touched, rows_of)
         frame = pd.DataFrame(out, columns=["doc_id", "fingerprint", "submissions_24h", "turn"])
         yield frame.assign(clone_score=clone_scores(frame["submissions_24h"]))[["doc_id", "fingerprint", "submissions_24h", "clone_score", "turn"]]
 
@@ -196,28 +208,21 @@ class LastPlaces(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, ["t", "doc_id"])
         first, last = int(batch["t"].iloc[0]), int(batch["t"].iloc[-1])
-        newest = max(last, int(self.newest.get()[0]) if self.newest.exists() else last)
-        visits = []
-        for hour in range((first - DAY) // HOUR, newest // HOUR + 1):
-            if self.hours.containsKey((hour,)):
-                visits += [(int(r[0]), int(r[1]), r[2], float(r[3]), float(r[4]), False) for r in self.hours.getValue((hour,))[0]]
-        visits += [(int(r.t), int(r.doc_id), r.ip, float(r.lat), float(r.lon), True) for r in batch.itertuples(index=False)]
+        newest, kept = _kept_hours(self.hours, self.newest, last)
+        visits = [(int(r[0]), int(r[1]), r[2], float(r[3]), float(r[4]), False) for hour in kept if hour >= (first - DAY) // HOUR for r in self.hours.getValue((hour,))[0]]
+        columns = [batch[c].tolist() for c in ("t", "doc_id", "ip", "lat", "lon")]
+        visits += [(int(t), int(doc), ip, float(lat), float(lon), True) for t, doc, ip, lat, lon in zip(*columns, strict=True)]
         visits.sort(key=lambda r: r[:2])
-        out, at, touched = [], {}, set()
+        out, at, by_hour, touched = [], {}, {}, set()
         for t, doc, ip, lat, lon, new in visits:
+            by_hour.setdefault(t // HOUR, []).append((t, doc, ip, lat, lon))
             for (plat, plon), (pt, pdoc, pip, pnew) in at.items():
                 if (plat, plon) != (lat, lon) and (new or pnew) and pt >= t - DAY:
                     out.append((doc, key[0], t, lat, lon, plat, plon, pt, pdoc, pip))
             at[lat, lon] = (t, doc, ip, new)
             if new:
                 touched.add(t // HOUR)
-        for hour in touched:
-            self.hours.updateValue((hour,), ([r[:5] for r in visits if r[0] // HOUR == hour],))
-        self.newest.update((newest,))
-        oldest = (newest - DAY - LATE) // HOUR
-        for hour in [k[0] for k in self.hours.keys()]:
-            if hour < oldest:
-                self.hours.removeKey((hour,))
+        _keep_hours(self.hours, self.newest, newest, kept, touched, by_hour.__getitem__)
         names = ["doc_id", "fingerprint", "t", "lat", "lon", "plat", "plon", "previous_t", "previous_doc_id", "previous_ip"]
         if out:
             yield pd.DataFrame(out, columns=names)

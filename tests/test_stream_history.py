@@ -37,3 +37,57 @@ def test_batches_equal_the_whole(spark, tmp_path):
     jobs.leave_facts(parts[1], known, 1)
     assert again == {d: v for d, v in got.items() if 60 <= d < 110}
     assert facts(jobs.with_history(parts[2], known, 2, geo)) == {d: v for d, v in got.items() if d >= 110}
+
+
+class _Map:
+    """Map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.values, self.writes, self.reads = {}, 0, 0
+
+    def containsKey(self, key):
+        self.reads += 1
+        return key in self.values
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.values[key]
+
+    def keys(self):
+        return iter(list(self.values))
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_long_batch_leaves_only_the_hours_a_later_row_may_meet():
+    import pandas as pd
+
+    from docsentry.streaming import processors as ps
+
+    rows = pd.DataFrame({"doc_id": range(300), "ip": "1", "t": [i * 2 * ps.HOUR + 5 for i in range(300)], "lat": [float(i % 3) for i in range(300)], "lon": 1.0})
+    for make in (ps.DeviceCloneAgain, ps.LastPlaces):
+        p, q = make(), make()
+        p.hours, p.newest, q.hours, q.newest = _Map(), _Value(), _Map(), _Value()
+        whole = pd.concat(p.handleInputRows(("d",), iter([rows]), None))
+        assert p.hours.reads == 0 and p.hours.writes <= 14 and all(h >= (rows.t.max() - ps.DAY - ps.LATE) // ps.HOUR for (h,) in p.hours.values)
+        parts = pd.concat([x for k in range(0, 300, 50) for x in q.handleInputRows(("d",), iter([rows[k : k + 50]]), None)])
+        assert sorted(whole.itertuples(index=False, name=None)) == sorted(parts.itertuples(index=False, name=None)) and q.hours.values == p.hours.values
