@@ -63,3 +63,24 @@ def test_tokens_are_ordered_in_their_row(spark):
     cur, old = (ready.select(F.struct(*ready.columns).alias(side)) for side in ("cur", "old"))
     every = similarity.compare(cur.join(old, F.col("cur.t") > F.col("old.t"))).filter("score >= 0.8").collect()
     assert asked == {(r.doc_id, r.other_doc_id) for r in every} and asked
+
+
+def test_token_keys_travel_in_lanes(spark):
+    """A document brings a few rows, not one for each token, and its keys are found as before, also for far images."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    bases = [rng.sample(words, 60 * (i + 1)) for i in range(4)]
+    rows = []
+    for i in range(120):
+        base = bases[i % 4]
+        text = rng.sample(base, len(base) - rng.randrange(len(base) // 3)) + rng.sample(words, rng.randrange(20))
+        rows.append((i, " ".join(text), f"h{i}", f"{rng.getrandbits(64):016x}" if i % 3 else "00ff00ff00ff00f" + "0137"[i % 4], f"L{i // 4 % 2}", "S", f"P{i}", f"E{i % 4}", 5.0, i // 2))
+    prints = similarity.fingerprints(spark.createDataFrame(rows, SCHEMA)).persist()
+    ready = similarity._prepared(prints)
+    cur, old = (ready.select(F.struct(*ready.columns).alias(side)) for side in ("cur", "old"))
+    every = similarity.compare(cur.join(old, (F.col("cur.t") > F.col("old.t")) | ((F.col("cur.t") == F.col("old.t")) & (F.col("cur.doc_id") > F.col("old.doc_id")))))
+    every = {frozenset((r.doc_id, r.other_doc_id)) for r in every.filter(F.col("score") >= similarity.THRESHOLD).collect()}
+    assert every and {frozenset((r.doc_id, r.other_doc_id)) for r in similarity.similar(prints).collect()} == every
+    long = prints.limit(1).select(F.lit(1000).cast("bigint").alias("n"), F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: F.xxhash64(x)).alias("rank"), F.lit(1).cast("bigint").alias("layout"), F.lit(2).cast("bigint").alias("employer"))
+    lanes = long.select(F.explode(F.concat(*similarity._cases(similarity.THRESHOLD)[0])).alias("e")).select("e.*").collect()
+    assert len(lanes) <= 20 and sum(len(r.tokens) for r in lanes) > 1000
