@@ -84,3 +84,17 @@ def test_token_keys_travel_in_lanes(spark):
     long = prints.limit(1).select(F.lit(1000).cast("bigint").alias("n"), F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: F.xxhash64(x)).alias("rank"), F.lit(1).cast("bigint").alias("layout"), F.lit(2).cast("bigint").alias("employer"))
     lanes = long.select(F.explode(F.concat(*similarity._cases(similarity.THRESHOLD)[0])).alias("e")).select("e.*").collect()
     assert len(lanes) <= 20 and sum(len(r.tokens) for r in lanes) > 1000
+
+
+def test_token_sets_move_once_for_many_pairs(spark):
+    """A family in which all are near copies: a document's tokens go to a few tiles, not to each of its pairs, and each pair keeps its two documents."""
+    ids = list(range(700)) + [5000, 5001]
+    near = [(a, b) for a in range(700) for b in range(a + 1, 700)] + [(3, 5000), (5000, 5001)]
+    pairs = spark.createDataFrame(near, "a_doc_id long, b_doc_id long")
+    homes, tiled = similarity._tiled(pairs)
+    assert homes.count() == len(ids) and tiled.count() == len(near)
+    moved = tiled.select("tile", F.explode(F.array("a_doc_id", "b_doc_id")).alias("doc_id")).distinct().count()
+    assert moved < 10 * len(ids) and tiled.groupBy("tile").count().agg(F.max("count")).first()[0] < 60000
+    rows = spark.createDataFrame([(i, f"text {i}") for i in [*ids, 9000]], "doc_id long, body string")
+    got = similarity._with_bodies(rows, pairs).select("a_doc_id", "b_doc_id", "a", "b").collect()
+    assert sorted((r.a_doc_id, r.b_doc_id) for r in got) == sorted(near) and all(r.a == f"text {r.a_doc_id}" and r.b == f"text {r.b_doc_id}" for r in got)
