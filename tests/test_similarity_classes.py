@@ -98,3 +98,24 @@ def test_token_sets_move_once_for_many_pairs(spark):
     rows = spark.createDataFrame([(i, f"text {i}") for i in [*ids, 9000]], "doc_id long, body string")
     got = similarity._with_bodies(rows, pairs).select("a_doc_id", "b_doc_id", "a", "b").collect()
     assert sorted((r.a_doc_id, r.b_doc_id) for r in got) == sorted(near) and all(r.a == f"text {r.a_doc_id}" and r.b == f"text {r.b_doc_id}" for r in got)
+
+
+def test_every_candidate_of_a_copy_is_listed(spark, monkeypatch):
+    """The candidates of each document are those of all pairs of documents, also of copies and of what came between them."""
+    monkeypatch.setattr(similarity, "_BLOCK", 2)
+    text, near = "alpha beta gamma delta epsilon", "alpha beta gamma delta omega"
+    rows = [(i, text, "h", "00ff00ff00ff00ff", "L", "S", "Ann", "Acme", 5.0, t) for i, t in ((7, 1), (3, 4), (9, 4), (4, 8), (5, 9))]
+    rows += [(i, near, "g", "00ff00ff00ff00fe", "L", "S", "Bob", "Acme", 5.0, t) for i, t in ((8, 2), (2, 4), (6, 7))]
+    rows += [(20, "words of one alone", "o", "ff00ff00ff00ff00", "M", "S", "Cid", "Else", 9.0, 5), (21, text, "i", "00ff00ff00ff00f0", "L", "S", "Dan", "Acme", 5.0, 6)]
+    rows += [(30 + i, "?!", "j", None, None, None, None, None, None, i) for i in range(2)]
+    classed = similarity.classes(similarity.fingerprints(spark.createDataFrame(rows, SCHEMA))).persist()
+    pairs = similarity.class_pairs(classed).persist()
+    got = [(r.doc_id, r.other_doc_id) for r in similarity.listed(classed, pairs).collect()]
+    ready = similarity._prepared(classed)
+    cur, old = (ready.select(F.struct(*ready.columns).alias(side)) for side in ("cur", "old"))
+    every = similarity.compare(cur.join(old, F.struct("cur.t", "cur.doc_id") > F.struct("old.t", "old.doc_id"))).filter(F.col("score") >= similarity.THRESHOLD)
+    want = {(r.doc_id, r.other_doc_id) for r in every.collect()}
+    assert (5, 7) in want and (8, 7) in want and {(d, o) for d, o in got if o is not None} == want and len(got) == len(set(got))
+    assert {d for d, o in got if o is None} == {r[0] for r in rows} - {d for d, _ in want}
+    told = {r.doc_id: (r.class_id, r.copies, r.links) for r in similarity.links(classed, pairs).collect()}
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in similarity.listed(classed, pairs).collect()} == told
