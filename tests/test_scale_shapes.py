@@ -222,3 +222,29 @@ def test_unfolded_case_rows_are_dealt_before_they_are_grouped(spark):
     want |= {(f"Applicant:pan{i % 2}", f"Device:f{i % 5}", "USES", None) for i in range(40)} | {(f"Applicant:pan{k}", f"PAN:pan{k}", "OWNS", None) for k in (0, 1)}
     want |= {(f"Applicant:pan{k}", "Employer:Acme", "REGISTERED_WITH", None) for k in (0, 1)}
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_what_a_case_has_once_is_dealt_out_once(spark):
+    """A case with many devices brings its employer, PAN and document once; a small frontier has no edge shuffled; nulls and ties stay as they were."""
+    from docsentry.operators import graph
+
+    cases = spark.createDataFrame([(f"d{i % 50}" if i % 50 else None, f"P{i % 3}", f"E{i % 50 % 4}" if i % 50 % 7 else "", float(i % 50), f"pan{i % 50 % 6}", f"f{i}", None if i % 3 else f"a{i % 9}", i % 50) for i in range(1000)],
+                                  "doc_id string, employee_name string, employer_name string, salary double, pan_number string, fingerprint string, bank_account string, t bigint")
+    edge = graph.edges(cases)
+    unfolded = [x for x in edge._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate inline" in x]
+    assert len(unfolded) == 2 and sum("fingerprint" in x for x in unfolded) == 1 and sum("employer_name" in x for x in unfolded) == 1
+    rows = cases.collect()
+    want = {(f"Applicant:{r.pan_number}", r.doc_id and f"Document:{r.doc_id}", "SUBMITTED", r.salary) for r in rows} | {(r.doc_id and f"Document:{r.doc_id}", f"Employer:{r.employer_name}", "EXTRACTED_FROM", None) for r in rows if r.employer_name}
+    want |= {(f"Applicant:{r.pan_number}", f"Device:{r.fingerprint}", "USES", None) for r in rows} | {(f"Applicant:{r.pan_number}", f"PAN:{r.pan_number}", "OWNS", None) for r in rows}
+    want |= {(f"Applicant:{r.pan_number}", f"BankAccount:{r.bank_account}", "OWNS", None) for r in rows if r.bank_account} | {(f"Applicant:{r.pan_number}", f"Employer:{r.employer_name}", "REGISTERED_WITH", None) for r in rows if r.employer_name}
+    got = [tuple(r) for r in edge.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    seeds = spark.createDataFrame([("Document:d3",)], "node_id string")
+    near, kept = graph.ego_network(edge, seeds, 2)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange" not in plan
+    reach = {"Document:d3": 0}
+    for hop in (1, 2):
+        reach |= {y: hop for s, d, _, _ in got for x, y in ((s, d), (d, s)) if reach.get(x) == hop - 1 and y is not None and y not in reach}
+    assert {r.node_id: r.hop for r in near.collect()} == reach
+    assert {tuple(r) for r in kept.select("src", "dst", "type").collect()} == {x[:3] for x in got if x[0] in reach and x[1] in reach}
