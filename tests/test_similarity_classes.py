@@ -119,3 +119,33 @@ def test_every_candidate_of_a_copy_is_listed(spark, monkeypatch):
     assert {d for d, o in got if o is None} == {r[0] for r in rows} - {d for d, _ in want}
     told = {r.doc_id: (r.class_id, r.copies, r.links) for r in similarity.links(classed, pairs).collect()}
     assert {r.doc_id: (r.class_id, r.copies, r.links) for r in similarity.listed(classed, pairs).collect()} == told
+
+
+def test_lanes_and_marks_of_whole_batches(spark):
+    """Keys of a row are the head of its tokens in one order, each in the lane of its case; a mark stands for each token; nulls and empty rows have none."""
+    from docsentry.functions import udfs
+
+    rng = random.Random(4)
+    rows = [(i, None if i == 3 else [rng.getrandbits(64) - (1 << 63) for _ in range(i % 7 * 40)], None if i == 5 else i % 2 + 1, None if i in (5, 8) else i % 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<bigint>, layout long, employer long").withColumn("n", F.size("tokens").cast("bigint")).coalesce(1)
+    ranked = df.withColumn("rank", similarity._ranked(df))
+    cases = [(False, True, 0.8, 3), (True, True, 0.5, 7)]
+    got = ranked.withColumn("e", udfs.lanes(cases, 128)(F.col("rank"), F.col("n"), F.col("layout"), F.col("employer"))).withColumn("m", udfs.marks(16)("tokens")).collect()
+    named = {}
+    for r in got:
+        tokens = r.tokens or []
+        assert sorted(r["rank"]) == sorted(tokens)
+        want = 0
+        for layout, employer, least, every in cases:
+            ready = (not layout or r.layout is not None) and (not employer or r.employer is not None)
+            head = r["rank"][:max(0, len(tokens) - -int(-len(tokens) * least // 1) + 1)] if ready and tokens else []
+            want += len(head)
+            for lane in range(every):
+                of = [x >> 32 for x in head if x % every == lane]
+                if of:
+                    found = [e for e in r.e if e.tokens == [y if y < 1 << 31 else y - (1 << 32) for y in of] and e.layout == (0 if layout else r.layout)]
+                    assert found and all(0 <= s < 128 for s in found[0].steps) and len(found[0].steps) == len(of)
+                    named.setdefault((layout, r.layout if layout else 0, r.employer, lane), set()).add(found[0].lane)
+        assert sum(len(e.tokens) for e in r.e or []) == want
+        assert (r.m is None or r.m.words is None) if r.tokens is None else r.m.ones == sum(bin(w & (1 << 64) - 1).count("1") for w in r.m.words) == len({(x % 16, x >> 32 & 63) for x in tokens})
+    assert all(len(v) == 1 for v in named.values()) and len({next(iter(v)) for v in named.values()}) == len(named)
